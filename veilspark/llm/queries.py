@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.line_cleaning import line_first_cleaning
+from veilspark.llm.mixing import mix_sources
 from veilspark.llm.quality_rules import fit_quality, score_quality
+from veilspark.llm.runtime import written
+from veilspark.llm.secret_frequency import scan_secrets
+from veilspark.llm.sharding import balanced_shards, equal_text_rows
+from veilspark.llm.token_counts import attribute_tokens
 
+#: Where the public vocabulary files are; a parameter of this module, never copied.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 HELD_OUT = "pmod(crc32(cast({} AS string)), 5) = 0"
 
 
@@ -23,14 +30,38 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", F.coalesce(F.expr(HELD_OUT.format("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(equal_text_rows(table(spark, sf_dir, "documents")), "rows")
+    placed = balanced_shards(rows, shards=16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = scan_secrets(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")
+
+
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_cleaning(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix_sources(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_label_propagation_shards": op2_label_propagation_shards,
+        "op3_secret_ownership": op3_secret_ownership,
+        "op4_token_attribution": op4_token_attribution,
         "op8_line_first_cleaning": op8_line_first_cleaning,
+        "op10_sainte_lague_mix": op10_sainte_lague_mix,
     }
 
 

@@ -63,25 +63,31 @@ def batches(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 1 << 21)
         lo = hi
 
 
-def bucket_starts(counted: DataFrame, group: list[str], bucket: str, value: str, start: str) -> DataFrame:
-    """The sum of `value` over a group's smaller buckets. counted: one row for each group and bucket."""
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn(start, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")).drop(value)
-
-
 def running_sum(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over the rows before a row of its group, in the order of (bucket, order).
+    """Adds `out`: the sum of `value` over the rows before a row of its group, in the order of (bucket, *order).
 
     No group meets in one task: buckets are summed with partial aggregation, their running sums are taken over
-    one row for each bucket, and a window runs inside (group, bucket). bucket has to be a function of `order`'s
-    most significant part or of nothing that order contradicts.
+    one row for each bucket, and a window runs inside (group, bucket). Group columns hold no nulls.
     """
     keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    starts = bucket_starts(keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_total")), group, "_bucket", "_total", "_start")
-    joined = keyed.join(null_safe(starts, group), [keyed[c].eqNullSafe(F.col(f"_g_{c}")) for c in group] + [keyed["_bucket"] == F.col("_b")], "left")
+    ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_total")).withColumn("_start", F.coalesce(F.sum("_total").over(ahead), F.lit(0))).drop("_total")
     before = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum("_value").over(before), F.lit(0))).drop("_bucket", "_value", "_start", "_b", *[f"_g_{c}" for c in group])
+    return keyed.join(starts, [*group, "_bucket"]).withColumn(out, (F.col("_start") + F.coalesce(F.sum("_value").over(before), F.lit(0))).cast("long")).drop("_bucket", "_value", "_start")
+
 
+def buckets(rows: int) -> int:
+    """How many hash buckets keep a bucket of `rows` rows near 20,000."""
+    return max(16, min(1 << 14, rows // 20_000))
 
-def null_safe(starts: DataFrame, group: list[str]) -> DataFrame:
-    return starts.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_bucket").alias("_b"), "_start")
+
+def join_salted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """many joined to the one row for each key of `one`; no key meets in one task.
+
+    rows: a column of `one` with the number of rows that the key has in `many`; total: rows of `many`. At most
+    1,000 keys can have a thousandth of the rows; only those, broadcast, are spread over `salts` copies.
+    """
+    hot = F.broadcast(one.where(F.col(rows) >= max(2, total // 1000)).select(key, F.lit(True).alias("_hot")))
+    left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+    copies = F.when(F.col(rows) >= max(2, total // 1000), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
