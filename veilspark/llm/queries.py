@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.llm.decontamination import contaminated
 from veilspark.llm.line_cleaning import line_first_cleaning
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.quality_rules import fit_quality, score_quality
@@ -45,6 +46,10 @@ def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_cleaning(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_label_propagation_shards": op2_label_propagation_shards,
         "op3_secret_ownership": op3_secret_ownership,
         "op4_token_attribution": op4_token_attribution,
+        "op5_bm25_decontamination": op5_bm25_decontamination,
         "op8_line_first_cleaning": op8_line_first_cleaning,
         "op10_sainte_lague_mix": op10_sainte_lague_mix,
     }

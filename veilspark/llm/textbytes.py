@@ -18,6 +18,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower case, and ASCII punctuation as white space.
+PLAIN = LOWER.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -45,13 +48,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Chunk:
     """Bytes of some texts, null as empty, with the offsets of each text."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None, latin: bool = False):
+        """table: what each byte is read as, such as LOWER. latin: lower-case U+00C0 to U+00DE as well."""
         column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")
         wide = pa.types.is_large_string(column.type)
         offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         raw = column.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        self.data, self.offsets, self.n = (LOWER[data] if lower else data), offsets - offsets[0], len(column)
+        if latin and len(data):
+            high = np.concatenate([[False], data[:-1] == 0xC3]) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+            data = data + (high * np.uint8(0x20)).astype(np.uint8)
+        self.data, self.offsets, self.n = (data if table is None else table[data]), offsets - offsets[0], len(column)
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
