@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.decontamination import contaminated
+from veilspark.llm.jaccard_join import similar_classes
 from veilspark.llm.line_cleaning import line_first_cleaning
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.quality_rules import fit_quality, score_quality
@@ -50,6 +51,10 @@ def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents")).drop("name")
+
+
 def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_cleaning(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_ownership": op3_secret_ownership,
         "op4_token_attribution": op4_token_attribution,
         "op5_bm25_decontamination": op5_bm25_decontamination,
+        "op7_count_tree_jaccard": op7_count_tree_jaccard,
         "op8_line_first_cleaning": op8_line_first_cleaning,
         "op10_sainte_lague_mix": op10_sainte_lague_mix,
     }
