@@ -20,16 +20,17 @@ ordinary rows; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.blooms import bloom_of, may_hold, sum_blobs
 from veilspark.llm.components import Forest, connected_components
 from veilspark.llm.runtime import batches, join_salted, written
 from veilspark.llm.textbytes import LOWER, Chunk, shingles
@@ -180,25 +181,6 @@ def _described(docs: DataFrame, rule: JaccardRule) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, key long, name binary, vector binary")
 
 
-def _sum_blobs(blobs: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: type) -> np.ndarray | None:
-    """Arrays of one fixed length, merged in tasks and then on the driver."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in frames:
-            for x in batch.column(0).to_pylist():
-                one = np.frombuffer(zlib.decompress(x), dtype)
-                total = one if total is None else merge(total, one)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["blob"])
-
-    total = None
-    for r in blobs.toDF("blob").repartition(8).mapInArrow(run, "blob binary").collect():  # 8 arrays of that length
-        one = np.frombuffer(zlib.decompress(r.blob), dtype)
-        total = one if total is None else merge(total, one)
-    return total
-
-
 def _prefixes(docs: DataFrame, sketch: np.ndarray, rule: JaccardRule) -> DataFrame:
     """(shingle, key): the rare shingles of which a partner must share one; a set comes once from each task."""
     cells = 1 << rule.sketch_bits
@@ -255,35 +237,21 @@ def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame:
     """(key, name, members) of the sets whose key is in `wanted`, each once."""
-    n = wanted.count()
-    bits = 1 << max(20, min(28, int(16 * max(n, 1) - 1).bit_length()))
-
-    def mark(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
-        for batch in frames:
-            key = np.asarray(batch.column(0)).view(np.uint64)
-            for d in range(2):
-                field[((key >> np.uint64(32 * d)) ^ (key * np.uint64(0x9E3779B1))) & np.uint64(bits - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(field).tobytes(), 1)], pa.binary())], names=["blob"])
-
-    blob = _sum_blobs(wanted.select("key").mapInArrow(mark, "blob binary"), np.bitwise_or, np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(zlib.compress(blob.tobytes(), 1))  # at most 32 MB
+    held = bloom_of(wanted.select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("key")), "key")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.unpackbits(np.frombuffer(zlib.decompress(held.value), np.uint8)).astype(bool)
+        hit = may_hold(held.value)
         seen: set[bytes] = set()
         for batch in frames:
             for lo, hi in batches(batch, "text"):
                 keys, names, members = [], [], []
                 for own in shingle_sets(batch.column("text").slice(lo, hi - lo), rule.k):
                     key, name = digest(own)
-                    u = np.uint64(key % (1 << 64))
-                    with np.errstate(over="ignore"):
-                        if len(own) and name not in seen and all(field[((u >> np.uint64(32 * d)) ^ (u * np.uint64(0x9E3779B1))) & np.uint64(bits - 1)] for d in range(2)):
-                            seen.add(name)
-                            keys.append(key)
-                            names.append(name)
-                            members.append(own.tobytes())
+                    if len(own) and name not in seen and hit(name[:8]):
+                        seen.add(name)
+                        keys.append(key)
+                        names.append(name)
+                        members.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["key", "name", "members"])
 
     sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
@@ -350,7 +318,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     described = written(_described(docs, rule), "described")
     rows = described.where("n IS NOT NULL")
-    sketch = _sum_blobs(described.where("n IS NULL").select("vector"), np.add, np.int64)
+    sketch = sum_blobs(described.where("n IS NULL").select("vector"), np.add, np.int64)
     if sketch is None:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "name")
     prefixes = written(_prefixes(docs, sketch, rule), "prefixes")

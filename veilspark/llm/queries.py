@@ -12,6 +12,7 @@ from veilspark.llm.jaccard_join import similar_classes
 from veilspark.llm.line_cleaning import line_first_cleaning
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.quality_rules import fit_quality, score_quality
+from veilspark.llm.repeated_spans import remove_repeats
 from veilspark.llm.runtime import written
 from veilspark.llm.secret_frequency import scan_secrets
 from veilspark.llm.sharding import balanced_shards, equal_text_rows
@@ -51,6 +52,10 @@ def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents")).drop("name")
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_ownership": op3_secret_ownership,
         "op4_token_attribution": op4_token_attribution,
         "op5_bm25_decontamination": op5_bm25_decontamination,
+        "op6_suffix_merge_repeats": op6_suffix_merge_repeats,
         "op7_count_tree_jaccard": op7_count_tree_jaccard,
         "op8_line_first_cleaning": op8_line_first_cleaning,
         "op10_sainte_lague_mix": op10_sainte_lague_mix,

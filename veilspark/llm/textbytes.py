@@ -102,8 +102,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     total = len(hashes)
     rolled = np.zeros(total, np.uint64)
     for j in range(k):
-        part = hashes[j:] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 % (1 << 64) | 1)
-        rolled[: total - j] += part
+        rolled[: max(0, total - k + 1)] *= np.uint64(0xD6E8FEB86659FD93)
+        rolled[: max(0, total - k + 1)] += hashes[j : j + max(0, total - k + 1)]
     rolled = mix(rolled)
     valid = np.zeros(total + 1, np.int64)
     np.add.at(valid, first[:-1][n_words >= k], 1)
