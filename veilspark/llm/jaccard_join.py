@@ -163,7 +163,7 @@ def _described(docs: DataFrame, rule: JaccardRule) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((2, cells), np.int64)
-        names = ["id", "n", "key", "name", "vector"]
+        names = ["id", "digest", "n", "key", "name", "vector"]
         type_ = None
         for batch in frames:
             type_ = batch.column("id").type
@@ -174,11 +174,11 @@ def _described(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                 for d in range(2):
                     sketch[d] += np.bincount((every >> np.uint64(20 * d)) & np.uint64(cells - 1), minlength=cells)
                 keys = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.binary()), pa.array([counted(s, rule.groups) for s in sets], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.binary()), pa.array([counted(s, rule.groups) for s in sets], pa.binary())], names=names)
         if type_ is not None and sketch.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, n long, key long, name binary, vector binary")
+    return docs.mapInArrow(run, f"id {kind}, digest long, n long, key long, name binary, vector binary")
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, rule: JaccardRule) -> DataFrame:
@@ -313,14 +313,14 @@ def _verified(sets: DataFrame, rule: JaccardRule) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: JaccardRule = JaccardRule()) -> DataFrame:
-    """One row for each document: id_col, n_shingles, component_id (the smallest id reachable by links), and name,
-    the 128-bit name of its set."""
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """One row for each document: id_col, n_shingles, component_id (the smallest id reachable by links), label, the
+    128-bit name of its class (null without shingles), and digest, a hash of its text."""
+    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("digest"))
     described = written(_described(docs, rule), "described")
     rows = described.where("n IS NOT NULL")
     sketch = sum_blobs(described.where("n IS NULL").select("vector"), np.add, np.int64)
     if sketch is None:
-        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "name")
+        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("label"), "digest")
     prefixes = written(_prefixes(docs, sketch, rule), "prefixes")
     total = prefixes.count()
     sums = [F.sum(F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 31))).alias(f"h{s}") for s in (1, 2)]
@@ -343,7 +343,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = written(_verified(written(_sets_of(docs, comps, rule), "sets"), rule), "labels")
         counts = rows.groupBy("name").agg(F.count("*").alias("copies")).join(labels, "name")
         labelled = join_salted(rows, counts, "name", "copies", max(1, rows.count()), F.xxhash64("id"), "left").withColumn("label", F.coalesce("label", "name"))
-    labelled = written(labelled.select("id", "n", "name", F.when(F.col("n") > 0, F.col("label")).alias("label")), "labelled")
+    labelled = written(labelled.select("id", "n", "digest", F.when(F.col("n") > 0, F.col("label")).alias("label")), "labelled")
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("copies"))
     out = join_salted(labelled, least, "label", "copies", max(1, labelled.count()), F.xxhash64("id"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "name")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "label", "digest")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: JaccardRule = JaccardRule()) -> DataFrame:
+    """docs with one document of each class, that of the smallest id (nulls last); all columns stay.
+
+    Rows that are equal in id and text are one document. Documents without words stay as they are.
+    """
+    found = similar_classes(docs, id_col, text_col, rule).where("label IS NOT NULL")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "digest")
+    best = found.groupBy("label").agg(F.min(rank).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.digest").alias("_digest"))
+    worded = docs[text_col].rlike(r"[^\x20\x09-\x0D]")
+    some = docs.where(worded).withColumn("_digest", F.xxhash64(docs[text_col]))
+    kept = some.join(best.withColumnRenamed("_digest", "_other"), some[id_col].eqNullSafe(F.col("_id")) & (some["_digest"] == F.col("_other")), "left_semi")
+    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest").unionByName(docs.where(~F.coalesce(worded, F.lit(False))))

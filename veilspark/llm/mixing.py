@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +75,9 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
             for lo, hi in batches(batch, "text"):
                 part = batch.slice(lo, hi - lo)
                 chunk = Chunk(part.column("text"))
-                hashes = np.array([xxhash.xxh3_64_intdigest(chunk.text(i)) for i in range(chunk.n)], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("source"), pa.array(np.diff(chunk.words()[2]).astype(np.int64)), pa.array(hashes)], names=["id", "source", "size", "text_hash"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("source"), pa.array(np.diff(chunk.words()[2]).astype(np.int64)), part.column("text_hash")], names=["id", "source", "size", "text_hash"])
 
-    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text")).mapInArrow(run, f"id {kinds[id_col]}, source string, size long, text_hash long")
+    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash")).mapInArrow(run, f"id {kinds[id_col]}, source string, size long, text_hash long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
@@ -119,3 +117,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = placed.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", taken.alias("taken"))
     shares = spark.createDataFrame([(s, r.source, q[i], block) for s, q in enumerate(quotas) for i, r in enumerate(found)], "shard int, source string, quota long, block_words long")
     return per_doc, shares
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:
+    """docs as whole documents: each as often as its taken words hold it, rounded; all columns stay. Rows that are
+    equal in id and text share their words."""
+    rows, _ = mix_sources(docs, id_col, text_col, source_col, plan)
+    size, taken = F.max("size"), F.sum("taken")
+    copies = rows.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.when(size > 0, F.floor((taken + F.floor(size / 2)) / size)).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
+    one = docs.withColumn("_text", F.xxhash64(docs[text_col])).dropDuplicates([id_col, "_text"])
+    taken_docs = one.join(copies, one[id_col].eqNullSafe(F.col("_id")) & (one["_text"] == F.col("_hash")))
+    return taken_docs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_hash", "_copies", "_copy", "_text")

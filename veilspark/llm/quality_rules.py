@@ -71,18 +71,20 @@ def statistics(chunk: Chunk) -> np.ndarray:
     ])
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col and the statistics of each row's whole text."""
-    kind = dict(docs.dtypes)[id_col]
+def with_statistics(docs: DataFrame, text_col: str, keep: list[str], out: str = "statistics") -> DataFrame:
+    """The columns `keep` and `out`, a struct of the statistics of each row's whole text."""
+    kinds = dict(docs.dtypes)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for lo, hi in batches(batch, "text"):
+            for lo, hi in batches(batch, text_col):
                 part = batch.slice(lo, hi - lo)
-                stats = statistics(Chunk(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(stats[:, j]) for j in range(stats.shape[1]))], names=[id_col, *STATISTICS])
+                stats = statistics(Chunk(part.column(text_col)))
+                packed = pa.StructArray.from_arrays([pa.array(stats[:, j]) for j in range(stats.shape[1])], names=list(STATISTICS))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), packed], names=[*keep, out])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{out}` struct<{', '.join(f'{s}: double' for s in STATISTICS)}>"]
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, ", ".join(schema))
 
 
 Condition = tuple[str, bool, float]  # statistic, whether it has to be over the value, value
@@ -95,11 +97,11 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[tuple[Condition, ...], float], ...] = field(default=())
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the columns of STATISTICS."""
+    def column(self, of: str = "statistics") -> Column:
+        """The score as a Spark expression over the fields of a struct of STATISTICS."""
         terms = [f"{float(self.bias)!r}D"]
         for conditions, weight in self.rules:
-            held = " AND ".join(f"`{s}` {'>' if over else '<='} {float(v)!r}D" for s, over, v in conditions)
+            held = " AND ".join(f"`{of}`.`{s}` {'>' if over else '<='} {float(v)!r}D" for s, over, v in conditions)
             terms.append(f"(CASE WHEN {held} THEN {float(weight)!r}D ELSE 0D END)")
         return F.expr(f"1D / (1D + exp(-greatest(-500D, least(500D, {' + '.join(terms)}))))")
 
@@ -218,11 +220,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fits on about max_rows labelled documents at most. learn: a condition on the column `id` of labels."""
     sample = labelled_sample(labels, id_col, label_col, max_rows, learn)  # two narrow columns of max_rows rows: small enough to broadcast at any size of the corpus
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), "id")
-    stats = with_statistics(picked, "id", "text").groupBy("id").agg(F.min(F.struct(*STATISTICS)).alias("s")).join(F.broadcast(sample), "id").select("good", "s.*").toPandas()
+    stats = with_statistics(picked, "text", ["id"]).groupBy("id").agg(F.min("statistics").alias("s")).join(F.broadcast(sample), "id").select("good", "s.*").toPandas()
     return fit_rules(stats[list(STATISTICS)].to_numpy(np.float64), stats["good"].to_numpy())
 
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row for each document: id_col, score, predicted (1 from the threshold on) and the statistics."""
-    scored = with_statistics(docs, id_col, text_col).withColumn("score", model.column())
-    return scored.select(id_col, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *STATISTICS)
+    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    scored = with_statistics(narrow, "text", ["id"]).withColumn("score", model.column())
+    return scored.select(F.col("id").alias(id_col), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "statistics.*")
+
+
+def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """docs with a score from the threshold on; all columns stay."""
+    out = "_statistics"
+    while out in docs.columns:
+        out += "_"
+    return with_statistics(docs, text_col, docs.columns, out).where(model.column(out) >= threshold).drop(out)

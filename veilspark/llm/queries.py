@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.decontamination import contaminated
+from veilspark.llm.fuzzy_lines import dedup_lines
 from veilspark.llm.jaccard_join import similar_classes
 from veilspark.llm.line_cleaning import line_first_cleaning
 from veilspark.llm.mixing import mix_sources
@@ -27,16 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def learn_condition() -> Column:
+    """Labels of the held-out fifth are never learned from."""
+    return F.expr(f"NOT ({HELD_OUT.format('id')})")
+
+
+def shard_rows(docs: DataFrame) -> DataFrame:
+    """The digest of operator 2 for 16 shards."""
+    placed = balanced_shards(written(equal_text_rows(docs), "rows"), shards=16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=F.expr(f"NOT ({HELD_OUT.format('id')})"))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=learn_condition())
     return score_quality(docs, model).select("doc_id", F.coalesce(F.expr(HELD_OUT.format("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(equal_text_rows(table(spark, sf_dir, "documents")), "rows")
-    placed = balanced_shards(rows, shards=16)
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +67,17 @@ def op6_suffix_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents")).drop("name")
+    return similar_classes(table(spark, sf_dir, "documents")).drop("label", "digest")
 
 
 def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_cleaning(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ","))
+
+
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -79,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_merge_repeats": op6_suffix_merge_repeats,
         "op7_count_tree_jaccard": op7_count_tree_jaccard,
         "op8_line_first_cleaning": op8_line_first_cleaning,
+        "op9_minhash_line_dedup": op9_minhash_line_dedup,
         "op10_sainte_lague_mix": op10_sainte_lague_mix,
     }
 
