@@ -40,7 +40,7 @@ LEAF = 16
 
 @dataclass(frozen=True)
 class JaccardRule:
-    """percent: the least Jaccard similarity. groups: coordinates of the count vectors."""
+    """percent: the least Jaccard similarity. groups: the least number of coordinates of a count vector."""
 
     k: int = 4
     percent: int = 85
@@ -69,18 +69,26 @@ def digest(own: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(name[:8], "big", signed=True), name
 
 
-def counted(own: np.ndarray, groups: int) -> bytes:
-    """Counts by group in bytes, rounded up to a common power of two that comes first."""
-    counts = np.bincount((own >> np.uint64(40)) % np.uint64(groups), minlength=groups)
-    scale = max(0, int(counts.max()).bit_length() - 8) if len(own) else 0
-    if counts.max() > 255 << scale:
+def group_count(n: int, least: int) -> int:
+    """A power of two near n / 8: unlike sets then differ by more counts than the threshold lets them, at any size."""
+    return max(least, 1 << max(0, -(-n // 8) - 1).bit_length())
+
+
+def counts_of(own: np.ndarray, least: int) -> np.ndarray:
+    return np.bincount(((own >> np.uint64(40)) & np.uint64(group_count(len(own), least) - 1)).astype(np.int64), minlength=group_count(len(own), least))
+
+
+def counted(own: np.ndarray, least: int) -> bytes:
+    """Counts by group in bytes, rounded up to a multiple of a power of two that comes first."""
+    counts = counts_of(own, least)
+    scale = 0
+    while counts.max() > 255 << scale:
         scale += 1
     return bytes([scale]) + (-(-counts >> scale)).astype(np.uint8).tobytes()
 
 
-def points(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1).astype(np.int64)
-    return raw[:, 1:] << raw[:, :1]
+def point(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8, offset=1).astype(np.int64) << blob[0]
 
 
 class CountTree:
@@ -129,10 +137,31 @@ class CountTree:
                 offer(int(self.order[a[p]]), int(self.order[b[q]]))
 
 
-def candidate_forest(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> Forest:
+def offer_pairs(points: list[np.ndarray], sizes: np.ndarray, percent: int, forest: Forest, offer: Callable[[int, int], None]) -> None:
+    """Offers the pairs that the bounds allow and that the forest does not connect yet. Points of one length meet in
+    a tree; those of the next length, folded by half, meet them in a tree as well (sizes that differ more than
+    twofold are never linked)."""
+    lengths = np.array([len(p) for p in points])
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        most = sizes[own].max() * 100 // percent
+        above = np.flatnonzero((lengths == 2 * length) & (sizes <= most))
+        for rows in (own, np.concatenate([own, above])) if len(above) else (own,):
+            if len(rows) < 2:
+                continue
+            vectors = np.stack([points[r] if len(points[r]) == length else points[r].reshape(2, -1).sum(axis=0) for r in rows])
+            both = len(rows) > len(own)
+            tree = CountTree(vectors, sizes[rows], percent)
+            tree.pairs(
+                lambda a, b, rows=rows: len({forest.find(int(rows[v])) for v in (*a, *b)}) == 1,
+                lambda x, y, rows=rows, both=both: offer(int(rows[x]), int(rows[y])) if not both or lengths[rows[x]] != lengths[rows[y]] else None,
+            )
+
+
+def candidate_forest(points: list[np.ndarray], sizes: np.ndarray, percent: int) -> Forest:
     """Connects what the bounds allow."""
     forest = Forest(len(sizes))
-    CountTree(vectors, sizes, percent).pairs(lambda a, b: len({forest.find(int(v)) for v in (*a, *b)}) == 1, lambda x, y: forest.union(x, y))
+    offer_pairs(points, sizes, percent, forest, forest.union)
     return forest
 
 
@@ -143,8 +172,6 @@ def exact_forest(sets: list[np.ndarray], percent: int, classes: list | None = No
     for i, c in enumerate(classes or ()):
         if c is not None:
             forest.union(seen.setdefault(c, i), i)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    vectors = np.stack([np.bincount((s >> np.uint64(40)) % np.uint64(64), minlength=64) for s in sets])
 
     def offer(x: int, y: int) -> None:
         if forest.find(x) != forest.find(y):
@@ -152,7 +179,7 @@ def exact_forest(sets: list[np.ndarray], percent: int, classes: list | None = No
             if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 forest.union(x, y)
 
-    CountTree(vectors, sizes, percent).pairs(lambda a, b: len({forest.find(int(v)) for v in (*a, *b)}) == 1, offer)
+    offer_pairs([counts_of(s, 64) for s in sets], np.array([len(s) for s in sets], np.int64), percent, forest, offer)
     return forest
 
 
@@ -218,14 +245,14 @@ def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
         table = pa.Table.from_batches(found)
         shingle, key = (np.asarray(table.column(c).combine_chunks()) for c in ("shingle", "key"))
         n = np.asarray(table.column("n").combine_chunks())
-        vectors = points(table.column("vector").to_pylist())
+        points = [point(x) for x in table.column("vector").to_pylist()]
         order = np.argsort(shingle, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], shingle[order][1:] != shingle[order][:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi - lo > 1:
                 rows_ = order[lo:hi]
-                forest = candidate_forest(vectors[rows_], n[rows_], percent)
+                forest = candidate_forest([points[r] for r in rows_], n[rows_], percent)
                 for i in range(hi - lo):
                     if forest.find(i) != i:
                         a.append(key[rows_[i]])
