@@ -42,6 +42,7 @@ WIDE = (
     ("opaque", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")),
 )
 KINDS = BASE_KINDS + tuple(k for k, _ in WIDE)
+#: Bits for each character that an opaque string has at least.
 ENTROPY = 3.0
 
 
@@ -76,10 +77,10 @@ def wide_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     taken = bytearray(len(text))
     for s, _, e, _ in base:
         taken[s:e] = b"\1" * (e - s)
-    for k, (_, pattern) in enumerate(WIDE, len(BASE_KINDS)):
+    for k, (name, pattern) in enumerate(WIDE, len(BASE_KINDS)):
         for m in pattern.finditer(text):
             s, e = m.span()
-            if taken.find(1, s, e) < 0 and entropy(m.group()) >= ENTROPY:
+            if taken.find(1, s, e) < 0 and (name == "provider" or entropy(m.group()) >= ENTROPY):
                 taken[s:e] = b"\1" * (e - s)
                 out.append((s, k, e, m.group()))
     return out
