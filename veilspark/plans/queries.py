@@ -14,7 +14,7 @@ from veilspark.functions.columns import java
 from veilspark.functions.policy import listing, select
 from veilspark.functions.safe_harbor import generalize_date, profile, transform_value, truncate_zip
 from veilspark.functions.suppression import suppressed
-from veilspark.operators import carriers, coverage, detection, paths, platforms, redaction, tables, verification
+from veilspark.operators import artifacts, carriers, coverage, detection, paths, platforms, redaction, tables, verification
 from veilspark.plans import manifest
 from veilspark.streaming import redaction as streaming
 
@@ -266,6 +266,10 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest_summary(acted)
 
 
+def artifact_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.artifact_actions(device_paths(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
+
+
 def size_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits, skipped = paths.size_partition(device_paths(spark, sf_dir))
     return fits.groupBy("kind").agg(F.count("*").alias("n")).unionByName(skipped.groupBy(F.col("action").alias("kind")).agg(F.count("*").alias("n")))
@@ -327,7 +331,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f.__name__: f for f in (
         pattern_histogram, pages_histogram, conversations_histogram, matches_by_lang, matches_by_source, findings, findings_all, context_matches, redact_common, redact_all, second_pass,
         log_lines, sensitive_columns, table_evidence, table_counts, numbered_redaction, json_redaction, key_predicate, csv_policy, zips, dates, profile_values, gap_list, classify_paths,
-        action_histogram, scan_summary, manifest_summary, size_partition, platform_detect, platform_emptied, document_hashes, verify_redacted, verify_raw, incomplete_files, scan_customer,
+        action_histogram, scan_summary, manifest_summary, artifact_histogram, size_partition, platform_detect, platform_emptied, document_hashes, verify_redacted, verify_raw, incomplete_files, scan_customer,
         selectors, stream_redaction,
     )}
     found |= {f"suppress_{n}": suppression_query(n) for n in ("ip_v4", "credit_card", "swift_bic", "phone_us")}
@@ -375,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "action_histogram": f"SELECT action, count(*) AS n FROM ({sql_classified()}) GROUP BY action",
         "scan_summary": f"SELECT count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_size, count(*) FILTER (WHERE action = 'DELETE') AS delete_count, count(*) FILTER (WHERE action = 'PRESERVE') AS preserve_count, CAST(sum(size) FILTER (WHERE action = 'DELETE') AS BIGINT) AS delete_size, bool_or(starts_with(reason, 'system:')) AS acted_on FROM ({sql_classified()})",
         "manifest_summary": f"SELECT count(*) FILTER (WHERE action = 'DELETE') AS files_deleted, count(*) FILTER (WHERE action = 'SELECTIVE_DB') AS databases_sanitized, count(*) FILTER (WHERE action = 'PLIST_SANITIZE') AS plists_sanitized, count(*) FILTER (WHERE action = 'EXIF_STRIP') AS exif_stripped, count(*) FILTER (WHERE action = 'SELECTIVE_DB') AS files_with_hashes, count(*) AS actions FROM ({sql_classified()})",
+        "artifact_histogram": f"SELECT 'delete_artifact' AS action, count(*) AS n FROM ({SQL_PATHS}) WHERE suffix(path, '/.bash_history')",
         "size_partition": f"SELECT CASE WHEN kind = 'history' OR length <= CASE kind WHEN 'log' THEN 10485760 ELSE 52428800 END THEN kind ELSE 'text_sanitize_skipped' END AS kind, count(*) AS n FROM (SELECT length, CASE WHEN suffix(path, '.bash_history') THEN 'history' WHEN suffix(path, '.json') THEN 'json' WHEN suffix(path, '.txt') THEN 'log' WHEN suffix(path, '.csv') THEN 'csv' END AS kind FROM ({SQL_PATHS})) WHERE kind IS NOT NULL GROUP BY 1",
         "platform_detect": "SELECT * FROM (VALUES ('db0', 'chrome_history'), ('db1', 'chrome_login'), ('db2', 'android_sms'), ('db3', 'photos_ios'), ('db4', NULL), ('db5', 'firefox_places')) t(db, db_type)",
         "platform_emptied": "SELECT * FROM (VALUES ('db0', 'chrome_history', 'urls'), ('db0', 'chrome_history', 'visits'), ('db0', 'chrome_history', 'visit_source'), ('db1', 'chrome_login', 'logins'), ('db1', 'chrome_login', 'insecure_credentials'), ('db2', 'android_sms', 'sms'), ('db2', 'android_sms', 'threads'), ('db2', 'android_sms', 'canonical_addresses'), ('db2', 'android_sms', 'part'), ('db3', 'photos_ios', 'ZPERSON'), ('db5', 'firefox_places', 'moz_places'), ('db5', 'firefox_places', 'moz_historyvisits'), ('db5', 'firefox_places', 'moz_perms')) t(db, db_type, table_name)",
