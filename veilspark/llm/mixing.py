@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.runtime import batches, buckets, running_sum, written
@@ -80,11 +81,15 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash")).mapInArrow(run, f"id {kinds[id_col]}, source string, size long, text_hash long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
-    """One row for each document (id_col, text_hash, source, size, source_size, target, taken), and the quotas: one
-    row for each shard and source, in blocks of block_words words."""
-    spark = docs.sparkSession
-    rows = written(sized(docs, id_col, text_col, source_col).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "sized")
+def order_of(id_col: str, text_hash: str, seed: int) -> Column:
+    """The seeded order of documents, from 0 to 2 ** 63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(id_col, text_hash, F.lit(seed)), 1)
+
+
+def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan: MixPlan) -> tuple[DataFrame, list[tuple], list[list[int]], int]:
+    """Documents with the words before them in their source, the sources (key, source, size, target, whole, n_blocks,
+    picked, offset), quotas by shard and source, and the words of a block."""
+    rows = written(sized(docs, id_col, text_col, source_col).withColumn("key", source_key(F.col("source"))), "sized")
     #: One row for each source: what a mix by source has to hold on the driver.
     found = sorted(rows.groupBy("key", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in found]
@@ -99,15 +104,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n_blocks = max(1, -(-r["size"] // block))
         picked = min(n_blocks, round((words - whole * r["size"]) / block))
         offset = int.from_bytes(hashlib.sha256(f"{plan.seed}:{r.key}".encode()).digest()[:8], "big") % n_blocks
-        laid.append((r.key, r["size"], goal[i], whole, n_blocks, picked, offset))
-    by_source = spark.createDataFrame(laid, "key string, source_size long, target double, whole long, n_blocks long, picked long, offset long")
+        laid.append((r.key, r.source, r["size"], goal[i], whole, n_blocks, picked, offset))
+    bits = max(9, (buckets(sum(r.n for r in found)) - 1).bit_length())
+    ordered = rows.withColumn("order", order_of("id", "text_hash", plan.seed))
+    placed = running_sum(ordered, ["key"], F.shiftright("order", 63 - bits), [F.col("order"), F.col("id"), F.col("text_hash")], F.col("size"), "before")
+    return placed, laid, quotas, block
+
+
+def source_key(source: Column) -> Column:
+    """Null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
+    """One row for each document (id_col, text_hash, source, size, source_size, target, taken), and the quotas: one
+    row for each shard and source, in blocks of block_words words."""
+    spark = docs.sparkSession
+    placed, laid, quotas, block = _laid(docs, id_col, text_col, source_col, plan)
+    by_source = spark.createDataFrame([(k, *rest) for k, _, *rest in laid], "key string, source_size long, target double, whole long, n_blocks long, picked long, offset long")
     if len(laid) <= 100_000:
         by_source = F.broadcast(by_source)
-    n = sum(r.n for r in found)
-    order = F.xxhash64("id", "text_hash", F.lit(plan.seed))
-    placed = running_sum(rows, ["key"], F.pmod(order, F.lit(buckets(n))), [order, F.col("id"), F.col("text_hash")], F.col("size"), "before").join(by_source, "key")
+    placed = placed.join(by_source, "key")
 
-    def picked_before(at: str) -> F.Column:
+    def picked_before(at: str) -> Column:
         full = f"(({at}) div {block})"
         count = f"(({full} * picked + offset) div n_blocks)"
         following = f"((({full} + 1) * picked + offset) div n_blocks)"
@@ -115,16 +134,33 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     taken = (F.col("whole") * F.col("size") + picked_before("before + size") - picked_before("before")).cast("long")
     per_doc = placed.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", taken.alias("taken"))
-    shares = spark.createDataFrame([(s, r.source, q[i], block) for s, q in enumerate(quotas) for i, r in enumerate(found)], "shard int, source string, quota long, block_words long")
+    shares = spark.createDataFrame([(s, name, q[i], block) for s, q in enumerate(quotas) for i, (_, name, *_) in enumerate(laid)], "shard int, source string, quota long, block_words long")
     return per_doc, shares
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:
-    """docs as whole documents: each as often as its taken words hold it, rounded; all columns stay. Rows that are
-    equal in id and text share their words."""
-    rows, _ = mix_sources(docs, id_col, text_col, source_col, plan)
-    size, taken = F.max("size"), F.sum("taken")
-    copies = rows.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.when(size > 0, F.floor((taken + F.floor(size / 2)) / size)).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
-    one = docs.withColumn("_text", F.xxhash64(docs[text_col])).dropDuplicates([id_col, "_text"])
-    taken_docs = one.join(copies, one[id_col].eqNullSafe(F.col("_id")) & (one["_text"] == F.col("_hash")))
-    return taken_docs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_hash", "_copies", "_copy", "_text")
+    """docs as whole documents: each as often as its source is repeated whole, and once more if the block in which it
+    starts is picked; all columns stay. No text is shuffled: a block is a range of the seeded order, and the ranges
+    (at most plan.blocks, and one for each source) go to all tasks. Rows equal in id and text share a decision."""
+    placed, laid, _, block = _laid(docs, id_col, text_col, source_col, plan)
+    starts = placed.where("size > 0").groupBy("key", F.expr(f"before div {block}").alias("block")).agg(F.min("order").alias("first")).collect()
+    ranges: dict[str, tuple] = {}
+    for key, _, _, _, whole, n_blocks, picked, offset in laid:
+        own = sorted((r["first"], r["block"]) for r in starts if r["key"] == key)
+        chosen = [(b + 1) * picked + offset >= (b * picked + offset) // n_blocks * n_blocks + n_blocks for _, b in own]
+        ranges[key] = (whole, np.array([f for f, _ in own], np.int64), np.array(chosen, bool))
+    held = docs.sparkSession.sparkContext.broadcast(ranges)
+
+    @F.pandas_udf("int")
+    def copies(keys: pd.Series, orders: pd.Series, words: pd.Series) -> pd.Series:
+        out = np.zeros(len(keys), np.int32)
+        for key, at in keys.groupby(keys).indices.items():
+            whole, first, chosen = held.value[key]
+            block_of = np.searchsorted(first, orders.to_numpy()[at], "right") - 1
+            out[at] = whole + (chosen[block_of] if len(first) else 0)
+        return pd.Series(np.where(words.to_numpy(), out, 0))
+
+    worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    numbered = docs.withColumn("_key", source_key(docs[source_col].cast("string"))).withColumn("_hash", F.xxhash64(docs[text_col]))
+    counted = numbered.withColumn("_copies", copies(F.col("_key"), order_of(id_col, "_hash", plan.seed), worded))
+    return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_hash", "_copies", "_copy")
