@@ -14,10 +14,11 @@ from veilspark.llm.line_cleaning import BOILERPLATE, FAULTS, NAVIGATION, LineRul
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.quality_rules import fit_quality, score_quality
 from veilspark.llm.repeated_spans import remove_repeats
-from veilspark.llm.runtime import written
+from veilspark.llm.runtime import bounded_batches, written
 from veilspark.llm.secret_frequency import scan_secrets
 from veilspark.llm.sharding import balanced_shards, equal_text_rows
 from veilspark.llm.token_counts import attribute_tokens
+from veilspark.sources.files import spread
 
 #: Where the public vocabulary files are; a parameter of this module, never copied.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -25,7 +26,8 @@ HELD_OUT = "pmod(crc32(cast({} AS string)), 5) = 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def learn_condition() -> Column:

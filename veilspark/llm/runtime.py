@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Rows go to Python in batches of a few MB, whatever the length of texts; a smaller setting of the session stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        found = spark.conf.get(name, None)
+        if not (found and found.isdigit() and 0 < int(found) <= most):
+            spark.conf.set(name, str(most))
+    return spark
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:
@@ -41,14 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Tables go when the driver process ends.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about `limit` bytes together; a longer text stands alone."""
     import numpy as np
     import pyarrow.compute as pc
