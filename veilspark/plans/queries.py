@@ -16,6 +16,7 @@ from veilspark.functions.safe_harbor import generalize_date, profile, transform_
 from veilspark.functions.suppression import suppressed
 from veilspark.operators import artifacts, carriers, coverage, detection, paths, platforms, redaction, tables, verification
 from veilspark.plans import manifest
+from veilspark.sources.files import spread
 from veilspark.streaming import redaction as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +31,13 @@ BOUND = {"swift_bic": r"(?:^|[^\p{L}\p{N}_])([A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0
 COUNTED = tuple(d for d in C.DETECTORS if not d.keywords and d.name not in ("uk_nin", "ip_v6", "npi"))
 
 
+#: Tables whose texts make the work of a query.
+TEXT_TABLES = ("documents", "pages", "conversations", "events")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def by_name(name: str) -> C.Detector:

@@ -18,6 +18,12 @@ def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small input comes as fewer partitions than there are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def texts(found: DataFrame) -> DataFrame:
     """path, length, text: the content as UTF-8 without what is invalid."""
     return found.select("path", "length", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
