@@ -19,17 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blooms import bloom_of, may_hold
 from veilspark.llm.components import connected_components
-from veilspark.llm.jaccard_join import JaccardRule, _verified
-from veilspark.llm.runtime import batches, join_salted, written
-from veilspark.llm.textbytes import mix
+from veilspark.llm.jaccard_join import JaccardRule, verified
+from veilspark.llm.runtime import batches, written
+from veilspark.llm.textbytes import mix, powers
 
-BLANKS = b" \t\n\x0b\x0c\r"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -38,41 +39,56 @@ class LineRule:
     percent: int = 80
     bands: int = 9
     rows: int = 4
-    tile_bytes: int = 48 << 20
+    tile_bytes: int = 6 << 20
 
 
-def _lines(text: str | None) -> list[bytes]:
-    return (text or "").encode().split(b"\n")
+def _lines(text: str | None) -> list[str]:
+    return (text or "").split("\n")
 
 
-def char_shingles(lines: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray]:
+SHIFT = 0xD1342543DE82EF95
+BACK = pow(SHIFT, -1, 1 << 64)
+
+
+def char_shingles(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of q code points of each line, with offsets; a shorter line is one run."""
-    chars = np.frombuffer(b"".join(lines).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(x.decode("utf-8", "replace")) for x in lines], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    spread = mix(chars.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
     n = len(chars)
-    rolled = np.zeros(n, np.uint64)
-    left = (np.repeat(first[1:], sizes) - np.arange(n)) if n else np.zeros(0, np.int64)
-    for j in range(q):
-        on = slice(0, max(0, n - j))
-        rolled[on] = np.where(left[on] > j, rolled[on] * np.uint64(0xD1342543DE82EF95) + spread[j:n], rolled[on])
+    chars += np.uint64(0x632BE59BD9B4E019)
+    chars *= np.uint64(0x9E3779B97F4A7C15)
+    chars ^= chars >> np.uint64(29)
+    chars *= powers(SHIFT, n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(chars, out=prefix[1:])
     counts = np.where(sizes >= q, sizes - q + 1, (sizes > 0).astype(np.int64))
-    keep = (left >= q) | ((np.repeat(sizes, sizes) < q) & (left == np.repeat(sizes, sizes)))
-    return mix(rolled)[keep], np.concatenate([[0], np.cumsum(counts)])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    starts = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], counts)
+    ends = starts + np.repeat(np.minimum(sizes, q), counts)
+    hashes = (prefix[ends] - prefix[starts]) * powers(BACK, n + 1)[starts]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
+    return hashes, offsets
+
+
+def line_sets(lines: list[bytes], q: int) -> list[np.ndarray]:
+    hashes, offsets = char_shingles([x.decode() for x in lines], q)
+    return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def band_hashes(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One row for each line (none of them empty), one bucket number for each band."""
+    """One row for each line (none of them empty), one bucket number for each band. A hash's 32 bits times an odd
+    number are its place in one permutation."""
     rng = np.random.default_rng(20240307)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    low = hashes.astype(np.uint32)
+    value = np.empty_like(low)
     out = np.empty((len(offsets) - 1, bands), np.int64)
     for b in range(bands):
         joined = np.full(len(offsets) - 1, np.uint64(b + 1))
         for _ in range(rows):
-            factor, shift = np.uint32(int(rng.integers(0, 1 << 32)) | 1), np.uint32(int(rng.integers(0, 1 << 32)))
-            value = (low ^ shift) * factor
-            value ^= value >> np.uint32(15)
+            np.multiply(low, np.uint32(int(rng.integers(0, 1 << 32)) | 1), out=value)
             joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, offsets[:-1]))
         out[:, b] = joined.view(np.int64)
     return out
@@ -96,7 +112,7 @@ def _described(docs: DataFrame, rule: LineRule) -> DataFrame:
                         if not line.strip(BLANKS):
                             own.append(None)
                             continue
-                        name = xxhash.xxh3_128_digest(line)
+                        name = xxhash.xxh3_128_digest(line.encode())
                         own.append(name)
                         if name not in seen:
                             seen.add(name)
@@ -112,8 +128,52 @@ def _described(docs: DataFrame, rule: LineRule) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, digest binary, lines array<binary>, fresh array<struct<key:long,buckets:array<long>>>")
 
 
+def _stars(described: DataFrame) -> DataFrame:
+    """(head, a, b): edges from lines to the smallest of their bucket in the batch (head false), and that smallest one
+    for each bucket of the batch (head true: bucket, key), so that no bucket sends more than one row from a batch."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            fresh = batch.column("fresh").flatten()
+            if not len(fresh):
+                continue
+            keys, lists = np.asarray(fresh.field("key")), fresh.field("buckets")
+            yield from star_rows(np.asarray(lists.flatten()), np.repeat(keys, np.asarray(pc.list_value_length(lists))), heads=True)
+
+    return described.select("fresh").mapInArrow(run, "head boolean, a long, b long")
+
+
+def star_rows(bucket: np.ndarray, key: np.ndarray, heads: bool) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((key, bucket))
+    bucket, key = bucket[order], key[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    least = np.repeat(key[cuts], np.diff(np.concatenate([cuts, [len(key)]])))
+    edge = key != least
+    for head, a, b in ((False, key[edge], least[edge]), (True, bucket[cuts], key[cuts])):
+        for i in range(0, len(a) if heads or not head else 0, 100_000):
+            part = pa.array(a[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([head] * len(part)), part, pa.array(b[i : i + 100_000])], names=["head", "a", "b"])
+
+
+def _edges(stars: DataFrame) -> DataFrame:
+    """The tasks' edges, and edges between their smallest lines of each bucket."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in frames if len(b)]
+        if not found:
+            return
+        head, a, b = (np.asarray(x) for x in pa.Table.from_batches(found).combine_chunks().columns)
+        for i in range(0, int((~head).sum()), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[~head][i : i + 100_000]) for x in (a, b)], names=["a", "b"])
+        if head.any():
+            for batch in star_rows(a[head], b[head], heads=False):
+                yield batch.select(["a", "b"])
+
+    return stars.repartition("a").mapInArrow(run, "a long, b long")
+
+
 def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
-    """(name, members, comp) of the lines whose key is in comps, each once."""
+    """(name, members, comp) of the lines whose key is in comps, each once; members is the line itself."""
     held = bloom_of(comps.select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("key")), "key")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +185,13 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
                 for text in batch.column("text").slice(lo, hi - lo).to_pylist():
                     for line in _lines(text):
                         if line.strip(BLANKS):
-                            name = xxhash.xxh3_128_digest(line)
+                            name = xxhash.xxh3_128_digest(line.encode())
                             if name not in seen and hit(name[:8]):
                                 seen.add(name)
                                 names.append(name)
-                                lines.append(line)
+                                lines.append(line.encode())
                 if lines:
-                    hashes, offsets = char_shingles(lines, rule.q)
-                    members = [np.unique(hashes[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["key", "name", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["key", "name", "members"])
 
     sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
     return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
@@ -141,21 +199,13 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
 
 def line_classes(docs: DataFrame, described: DataFrame, rule: LineRule) -> DataFrame | None:
     """(name, label) of the lines that are linked to others; label is the smallest name. None without any."""
-    fresh = described.select(F.explode("fresh").alias("f")).select("f.key", F.explode("f.buckets").alias("bucket"))
-    sums = [F.sum(F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 31))).alias(f"h{s}") for s in (1, 2)]
-    shared = fresh.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"), *sums).where("low <> high")
-    # buckets of the very same lines count once
-    shared = written(shared.groupBy("rows", "low", "high", "h1", "h2").agg(F.min("bucket").alias("bucket")), "buckets")
-    pairs = shared.where("rows = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    more = shared.where("rows > 2").select("bucket", "rows", "low")
-    total = max(1, described.agg(F.sum(F.size("fresh"))).first()[0] or 0) * rule.bands
-    stars = join_salted(fresh, more, "bucket", "rows", total, F.xxhash64("key")).select(F.col("key").alias("a"), F.col("low").alias("b"))
-    comps = connected_components(pairs.unionByName(stars).where("a <> b"))
+    comps = connected_components(_edges(_stars(described)))
     if comps.isEmpty():
         return None
     comps = written(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "comps")
     sets = written(_sets_of(docs, comps, rule), "sets")
-    return _verified(sets, JaccardRule(percent=rule.percent, tile_bytes=rule.tile_bytes)).where("name <> label")
+    q = rule.q
+    return verified(sets, JaccardRule(percent=rule.percent, tile_bytes=rule.tile_bytes), lambda lines: line_sets(lines, q)).where("name <> label")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: LineRule = LineRule()) -> DataFrame:

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.blooms import bloom_of, may_hold, sum_blobs
 from veilspark.llm.components import Forest, connected_components
 from veilspark.llm.runtime import batches, join_salted, written
-from veilspark.llm.textbytes import LOWER, Chunk, shingles
+from veilspark.llm.textbytes import LOWER, Chunk, mix, shingles
 
 LEAF = 16
 
@@ -179,6 +180,12 @@ def exact_forest(sets: list[np.ndarray], percent: int, classes: list | None = No
             if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 forest.union(x, y)
 
+    if len(sets) <= 8:  # no tree pays
+        for x in range(len(sets)):
+            for y in range(x):
+                if 100 * min(len(sets[x]), len(sets[y])) >= percent * max(len(sets[x]), len(sets[y])):
+                    offer(x, y)
+        return forest
     offer_pairs([counts_of(s, 64) for s in sets], np.array([len(s) for s in sets], np.int64), percent, forest, offer)
     return forest
 
@@ -209,16 +216,18 @@ def _described(docs: DataFrame, rule: JaccardRule) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, rule: JaccardRule) -> DataFrame:
-    """(shingle, key): the rare shingles of which a partner must share one; a set comes once from each task."""
+    """(shingle, part, key): the rare shingles of which a partner must share one; a set comes once from each task.
+    part spreads a shingle that the sketch counts as frequent, and is -1 for all others."""
     cells = 1 << rule.sketch_bits
     held = docs.sparkSession.sparkContext.broadcast(zlib.compress(sketch.astype(np.int64).tobytes(), 1))  # of one size for any corpus
+    frequent = rule.dense + 8 * int(sketch[:cells].sum()) // cells
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(held.value), np.int64).reshape(2, cells)
         seen: set[int] = set()
         for batch in frames:
             for lo, hi in batches(batch, "text"):
-                out, keys, lengths = [], [], []
+                out, rares, keys, lengths = [], [], [], []
                 for own in shingle_sets(batch.column("text").slice(lo, hi - lo), rule.k):
                     key = digest(own)[0]
                     if not len(own) or key in seen:
@@ -226,28 +235,71 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, rule: JaccardRule) -> DataFra
                     seen.add(key)
                     rare = np.minimum(counts[0][own & np.uint64(cells - 1)], counts[1][(own >> np.uint64(20)) & np.uint64(cells - 1)])
                     take = len(own) + (-rule.percent * len(own) // 100) + 1
-                    out.append(own[np.lexsort((own, rare))[:take]])
+                    order = np.lexsort((own, rare))[:take]
+                    out.append(own[order])
+                    rares.append(rare[order])
                     keys.append(key)
                     lengths.append(take)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], names=["shingle", "key"])
+                    key = np.repeat(np.array(keys, np.int64), lengths)
+                    part = np.where(np.concatenate(rares) > frequent, key & 63, -1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(part), pa.array(key)], names=["shingle", "part", "key"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, key long")
+    return docs.select("text").mapInArrow(run, "shingle long, part int, key long")
+
+
+def _grouped(prefixes: DataFrame, dense: int) -> DataFrame:
+    """(kind, a, b): members of buckets (0: bucket, key), edges (1), and frequent shingles' least keys by part (2:
+    shingle, key). A bucket is named by its members, so that shingles of the very same sets give one bucket; it
+    has `dense` members at most, larger ones become stars of edges."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in frames if len(b)]
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        shingle, part, key = (np.asarray(table.column(c).combine_chunks()) for c in ("shingle", "part", "key"))
+        order = np.lexsort((key, part, shingle))
+        shingle, part, key = shingle[order], part[order], key[order]
+        fresh = np.ones(len(key), bool)
+        same = (shingle[1:] == shingle[:-1]) & (part[1:] == part[:-1])
+        fresh[1:] = ~same | (key[1:] != key[:-1])
+        shingle, part, key = shingle[fresh], part[fresh], key[fresh]
+        cuts = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])]))
+        sizes = np.diff(np.concatenate([cuts, [len(key)]]))
+        group = np.repeat(np.arange(len(cuts)), sizes)
+        least = key[cuts][group]
+        frequent = part[cuts] >= 0
+        star = ((sizes > dense) | frequent) & (sizes > 1)
+        bucket = (sizes > 1) & ~star
+        named = mix(np.add.reduceat(mix(key.view(np.uint64)), cuts) + mix(sizes.astype(np.uint64))).view(np.int64)
+        firsts = np.zeros(len(cuts), bool)
+        firsts[np.unique(named, return_index=True)[1]] = True  # one of equal buckets in the task
+        m = (bucket & firsts)[group]
+        e = star[group] & (key != least)
+        h = frequent
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [m.sum(), e.sum(), h.sum()])
+        a = np.concatenate([named[group[m]], key[e], shingle[cuts[h]]])
+        b = np.concatenate([key[m], least[e], key[cuts[h]]])
+        for i in range(0, len(kinds), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (kinds, a, b)], names=["kind", "a", "b"])
+
+    return prefixes.repartition("shingle", "part").mapInArrow(run, "kind int, a long, b long")
 
 
 def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: shingle, key, n, vector of buckets of bounded size. Edges of a forest of each bucket."""
+    """rows: bucket, key, n, vector of buckets of bounded size. Edges of a forest of each bucket."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in frames if len(b)]
         if not found:
             return
         table = pa.Table.from_batches(found)
-        shingle, key = (np.asarray(table.column(c).combine_chunks()) for c in ("shingle", "key"))
+        bucket, key = (np.asarray(table.column(c).combine_chunks()) for c in ("bucket", "key"))
         n = np.asarray(table.column("n").combine_chunks())
         points = [point(x) for x in table.column("vector").to_pylist()]
-        order = np.argsort(shingle, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], shingle[order][1:] != shingle[order][:-1], [True]]))
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi - lo > 1:
@@ -259,7 +311,7 @@ def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
                         b.append(key[rows_[forest.find(i)]])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("shingle").select("shingle", "key", "n", "vector").mapInArrow(run, "a long, b long").where("a <> b")
+    return rows.select("bucket", "key", "n", "vector").repartition("bucket").mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -285,14 +337,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame
     return sets.join(wanted, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
 
 
-def _classes(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """rows: name, class (binary or null), members and keys. (keys, name, class): the smallest name that is linked
+def whole_sets(members: list[bytes]) -> list[np.ndarray]:
+    """Sets that are kept as their sorted hashes."""
+    return [np.frombuffer(m, np.uint64) for m in members]
+
+
+def _classes(rows: DataFrame, keys: list[str], percent: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets) -> DataFrame:
+    """rows: name, class (binary or null), members (what unpack makes sets of) and keys. (keys, name, class): the smallest name that is linked
     inside the rows of equal keys, which come together in one task, one group after the other."""
     types = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
 
     def solve(group: list[tuple]) -> pa.RecordBatch:
         group.sort(key=lambda r: r[0])
-        forest = exact_forest([np.frombuffer(r[2], np.uint64) for r in group], percent, [r[1] for r in group])
+        forest = exact_forest(unpack([r[2] for r in group]), percent, [r[1] for r in group])
         names = [r[0] for r in group]
         arrays = [pa.array([r[3 + i] for r in group], pa.int64()) for i in range(len(keys))]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.binary()), pa.array([names[forest.find(i)] for i in range(len(group))], pa.binary())], names=[*keys, "name", "class"])
@@ -312,20 +369,20 @@ def _classes(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.select("name", "class", "members", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{types}, name binary, class binary")
 
 
-def _verified(sets: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(name, label) for the sets of candidate components: label is the smallest name linked."""
+def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets) -> DataFrame:
+    """(name, label) for the sets (name, members, comp) of candidate components: label is the smallest name linked."""
     sizes = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum(F.octet_length("members")).alias("bytes")).withColumn("tiles", F.ceil(F.greatest(F.col("bytes") / rule.tile_bytes, F.col("rows") / 4000)).cast("long"))
     total = sets.count()
     tiled = join_salted(sets, sizes, "comp", "rows", total, F.xxhash64("name")).withColumn("tile", F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).withColumn("class", F.lit(None).cast("binary"))
     tiled = written(tiled.select("name", "members", "comp", "tile", "tiles", "class"), "tiled")
-    inside = written(_classes(tiled, ["comp", "tile"], rule.percent), "inside")
+    inside = written(_classes(tiled, ["comp", "tile"], rule.percent, unpack), "inside")
     if tiled.where("tiles > 1").isEmpty():
         return inside.select("name", F.col("class").alias("label"))
     large = tiled.where("tiles > 1").drop("class").join(inside.drop("comp", "tile"), "name")
     heads = large.where("name = class")
     part = F.pmod(F.xxhash64("name", F.lit(8)), F.ceil(F.sqrt("tiles")).cast("long"))
     # heads of one component are few unless it falls apart; they meet by parts, and what parts miss is left to the pairs of tiles
-    over = _classes(heads.withColumn("part", part).withColumn("class", F.lit(None).cast("binary")), ["comp", "part"], rule.percent)
+    over = _classes(heads.withColumn("part", part).withColumn("class", F.lit(None).cast("binary")), ["comp", "part"], rule.percent, unpack)
     edges = written(inside.select(F.col("name").alias("a"), F.col("class").alias("b")).unionByName(over.select(F.col("name").alias("a"), F.col("class").alias("b"))), "links")
     labels = written(connected_components(edges).select(F.col("node").alias("name"), "label"), "joined")
     known = large.drop("class").join(labels, "name", "left").withColumn("class", F.coalesce("label", "name")).drop("label")
@@ -333,7 +390,7 @@ def _verified(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     rest = join_salted(known, apart, "comp", "rows", total, F.xxhash64("name"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     pairs = rest.withColumn("other", other).where("other <> tile").withColumn("pair", F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other"))
-    across = _classes(pairs, ["comp", "pair"], rule.percent)
+    across = _classes(pairs, ["comp", "pair"], rule.percent, unpack)
     edges = edges.unionByName(across.select(F.col("name").alias("a"), F.col("class").alias("b")))
     final = connected_components(edges).select(F.col("node").alias("name"), "label")
     return inside.select("name").join(final, "name", "left").select("name", F.coalesce("label", "name").alias("label"))
@@ -348,26 +405,25 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = sum_blobs(described.where("n IS NULL").select("vector"), np.add, np.int64)
     if sketch is None:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("label"), "digest")
-    prefixes = written(_prefixes(docs, sketch, rule), "prefixes")
-    total = prefixes.count()
-    sums = [F.sum(F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 31))).alias(f"h{s}") for s in (1, 2)]
-    shared = prefixes.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"), *sums).where("low <> high")
-    # shingles shared by the very same sets are one bucket
-    shared = written(shared.groupBy("rows", "low", "high", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle", "rows", "low"), "shared")
-    members = written(join_salted(prefixes, shared, "shingle", "rows", total, F.xxhash64("key")).distinct(), "members")
-    dense = members.where(F.col("rows") > rule.dense).select(F.col("key").alias("a"), F.col("low").alias("b")).where("a <> b")
+    grouped = written(_grouped(_prefixes(docs, sketch, rule), rule.dense), "grouped")
+    members = grouped.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("key")).distinct()
+    stars = grouped.where("kind = 1").select("a", "b")
+    heads = grouped.where("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("key"))  # at most 64 of a shingle
+    stars = stars.unionByName(heads.join(heads.groupBy("shingle").agg(F.min("key").alias("b")), "shingle").select(F.col("key").alias("a"), "b"))
     sets = rows.where("n > 0").groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.first("n").alias("n"), F.first("vector").alias("vector"))
-    small = members.where(F.col("rows") <= rule.dense).join(sets.where("least = most"), "key")
+    small = members.join(sets.where("least = most"), "key")
     # two sets with one 64-bit key can't be told apart by the bounds: they count as connected to all of their buckets
-    doubled = members.join(sets.where("least <> most").select("key"), "key").select(F.col("key").alias("a"), F.col("low").alias("b"))
-    same = sets.where("least <> most").select(F.col("key").alias("a"), (F.col("key") + 0).alias("b"))
-    edges = _bucket_edges(small, rule.percent).unionByName(dense).unionByName(doubled.where("a <> b"))
+    double = written(sets.where("least <> most").select("key"), "double")
+    lows = members.join(members.join(double, "key", "left_semi").select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.min("key").alias("b"))
+    doubled = members.join(double, "key", "left_semi").join(lows, "bucket").select(F.col("key").alias("a"), "b")
+    same = double.select(F.col("key").alias("a"), (F.col("key") + 0).alias("b"))
+    edges = _bucket_edges(small, rule.percent).unionByName(stars.where("a <> b")).unionByName(doubled.where("a <> b"))
     comps = connected_components(edges).select(F.col("node").alias("key"), F.col("label").alias("comp"))
     comps = written(comps.unionByName(same.join(comps, same["a"] == comps["key"], "left_anti").select(F.col("a").alias("key"), F.col("b").alias("comp"))), "comps")
     if comps.isEmpty():
         labelled = rows.withColumn("label", F.col("name"))
     else:
-        labels = written(_verified(written(_sets_of(docs, comps, rule), "sets"), rule), "labels")
+        labels = written(verified(written(_sets_of(docs, comps, rule), "sets"), rule), "labels")
         counts = rows.groupBy("name").agg(F.count("*").alias("copies")).join(labels, "name")
         labelled = join_salted(rows, counts, "name", "copies", max(1, rows.count()), F.xxhash64("id"), "left").withColumn("label", F.coalesce("label", "name"))
     labelled = written(labelled.select("id", "n", "digest", F.when(F.col("n") > 0, F.col("label")).alias("label")), "labelled")
@@ -381,10 +437,26 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that are equal in id and text are one document. Documents without words stay as they are.
     """
-    found = similar_classes(docs, id_col, text_col, rule).where("label IS NOT NULL")
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "digest")
-    best = found.groupBy("label").agg(F.min(rank).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.digest").alias("_digest"))
-    worded = docs[text_col].rlike(r"[^\x20\x09-\x0D]")
-    some = docs.where(worded).withColumn("_digest", F.xxhash64(docs[text_col]))
-    kept = some.join(best.withColumnRenamed("_digest", "_other"), some[id_col].eqNullSafe(F.col("_id")) & (some["_digest"] == F.col("_other")), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest").unionByName(docs.where(~F.coalesce(worded, F.lit(False))))
+    found = similar_classes(docs, id_col, text_col, rule).where("label IS NOT NULL").withColumnRenamed(id_col, "id")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    best = found.groupBy("label").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    several = join_salted(found.select("label", "id", "digest"), best, "label", "rows", max(1, found.count()), F.xxhash64("id"))
+    # what goes (first false) and what is there more than once as the same row (first true)
+    doubtful = several.withColumn("first", rank == F.col("best")).groupBy("id", "digest", "first").agg(F.count("*").alias("n")).where("NOT first OR n > 1")
+    pair = F.unhex(F.lpad(F.hex(F.xxhash64("id", "digest")), 16, "0"))
+    doubtful = written(doubtful.select(F.col("id").alias("_id"), F.col("digest").alias("_other"), "first", pair.alias("_pair")), "doubtful")
+    held = bloom_of(doubtful, "_pair")
+
+    @F.pandas_udf("boolean")
+    def listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hit = may_hold(held.value)
+        for part in parts:
+            yield pd.Series([hit(x) for x in part], dtype=bool)
+
+    # texts are shuffled only where the filter says that a row may be listed
+    marked = docs.withColumn("_digest", F.xxhash64(docs[text_col])).withColumn("_maybe", listed(F.unhex(F.lpad(F.hex(F.xxhash64(id_col, "_digest")), 16, "0"))))
+    some = marked.where("_maybe")
+    on = lambda names: some[id_col].eqNullSafe(names["_id"]) & (some["_digest"] == names["_other"])
+    firsts = doubtful.where("first")
+    out = marked.where("NOT _maybe").unionByName(some.join(doubtful, on(doubtful), "left_anti")).unionByName(some.join(firsts, on(firsts), "left_semi").dropDuplicates([id_col, "_digest"]))
+    return out.drop("_digest", "_maybe")
