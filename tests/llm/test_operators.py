@@ -397,8 +397,9 @@ def test_components(spark):
         if a != b:
             a, b = sorted((find(a), find(b)))
             parent[b] = a
-    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
-    assert got == {v: find(v) for v in parent}
+    for most in (0, 200_000):  # by all tasks, and by one
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=most).collect()
+        assert {r.node: r.label for r in rows} == {v: find(v) for v in parent} and len(rows) == len(parent)
     assert connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 

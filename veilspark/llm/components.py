@@ -63,15 +63,23 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").where("a <> b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Contracted edges that one task may solve; more are solved by all.
+ONE_TASK = 200_000
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label): label is the smallest node reachable; only nodes of edges are listed.
 
-    Hooking and pointer jumping: a node takes the smallest label around it, its root too, then its label's label.
+    Up to one_task contracted edges (counted first) go to one task. Beyond that, hooking and pointer jumping: a node
+    takes the smallest label around it, its root too, then its label's label.
     """
     spark = edges.sparkSession
     edges = written(contract(edges), "edges")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if edges.count() <= one_task:
+        trees = written(contract(edges.coalesce(1)), "trees")
+        return trees.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(trees.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = both.groupBy("a").agg(F.count("*").alias("degree"))
     both, degree = written(both, "both"), written(degree, "degree")
