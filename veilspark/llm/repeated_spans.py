@@ -290,7 +290,7 @@ def _needed_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 def _sent(texts: DataFrame, splitters: list[int], parts: int, rule: RepeatRule) -> DataFrame:
     """texts: name, text, marks. Rows (part, kind, payload): front-coded runs of strings (0), blocks of windows (1),
-    and repeats found inside the task (2, a single triple)."""
+    and repeats found inside the task (2, as triples)."""
     cuts = np.array(splitters, np.int64)
     length = rule.length
 
@@ -323,8 +323,9 @@ def _sent(texts: DataFrame, splitters: list[int], parts: int, rule: RepeatRule)
             twice[:-1] |= same
             found = order[twice]
             if len(found):
-                for t, lo, hi in joined_windows(text[found], start[found], length):
-                    out.append((0, 2, struct.pack("<16s2q", names[16 * t : 16 * t + 16], lo, hi)))
+                triples = [struct.pack("<16s2q", names[16 * t : 16 * t + 16], lo, hi) for t, lo, hi in joined_windows(text[found], start[found], length)]
+                for i in range(0, len(triples), 4096):
+                    out.append((int(one[found[0]] + np.uint64(i)) % parts, 2, b"".join(triples[i : i + 4096])))
             lead = order[np.concatenate([[True], ~same])]  # one of equal windows
             part = (one[lead] % np.uint64(parts)).astype(np.int64)
             for p in np.unique(part):
@@ -398,7 +399,7 @@ def _received(sent: DataFrame, parts: int, rule: RepeatRule) -> DataFrame:
 
     def solve(kinds: dict[int, list[bytes]]) -> Iterator[tuple[bytes, int, int]]:
         for raw in kinds.get(2, ()):
-            yield struct.unpack("<16s2q", raw)
+            yield from struct.iter_unpack("<16s2q", raw)
         if 0 in kinds:
             yield from merged_repeats([decode(raw) for raw in kinds[0]], length)
         if 1 in kinds:
