@@ -119,6 +119,24 @@ def test_op2_shards(spark, docs, none):
     assert sharding.balanced_shards(written(sharding.equal_text_rows(none), "rows"), 16).isEmpty()
 
 
+@pytest.mark.parametrize(("group", "most_apart"), [("id div 2", 0.02), ("IF(id < 1600, -1, id)", 1)])
+def test_op2_moves_until_none_is_admitted(spark, group, most_apart):
+    """An all-linked table, where only departures make room, and a group of a third of the rows."""
+    rows = written(spark.range(4800).select(F.col("id").alias("row"), F.expr(group).cast("string").alias("group")), "rows")
+    out = sharding.balanced_shards(rows, 16).toPandas()
+    assert set(out.groupby("shard").size()) == {300}
+    groups = out.groupby("group")["shard"].agg(["size", "nunique"]).query("size > 1")
+    assert (groups["nunique"] > 1).mean() <= most_apart
+    assert groups["nunique"].max() <= 6  # of 1,600 rows, 300 in a shard
+
+
+def test_op2_flows_between_shards():
+    wishes = np.array([[0, 5, 0], [5, 0, 4], [3, 0, 0]])
+    assert sharding.admitted(wishes, np.zeros(3, np.int64)).sum() == 13  # 5 to shard 1, 2 of them back and 3 by way of shard 2
+    flow = sharding.admitted(wishes, np.array([0, 1, 4]))
+    assert (flow <= wishes).all() and (flow.sum(0) - flow.sum(1) <= [0, 1, 4]).all()
+
+
 def test_op3_secrets(spark, docs, none):
     out, owned = secret_frequency.scan_secrets(docs)
     rows = out.collect()
