@@ -37,3 +37,12 @@ def test_stages_take_effect(spark, tmp_path):
     assert max(sizes) - min(sizes) <= 1
     assert len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    """One edit in 49 words: 40 of 50 shingles of five words are shared (0.8), of four words 42 of 50 (0.84)."""
+    one = [f"w{i}" for i in range(49)]
+    inner, outer = [*one[:20], "x", *one[21:]], [f"v{i}" for i in range(40)]
+    texts = [one, inner, outer, [*outer[:20], "y", *outer[21:]]]  # 0.8, and 31 of 41 shingles: 0.756
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
