@@ -401,6 +401,33 @@ def test_op10_mix(spark, docs, none):
     assert mixing.mix_sources(none)[0].isEmpty() and mixing.mixed_documents(none).isEmpty()
 
 
+def test_op10_sources_smaller_than_a_block_meet_their_targets(spark):
+    texts = [("big", 90), ("small", 30), ("tiny", 1)]  # 10 words each; blocks of 605 words
+    rows = [(f"{s}{i}", " ".join(f"{s}{i}w{k}" for k in range(10)), s) for s, n in texts for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    plan = mixing.MixPlan(weights=(7, 1, 1), blocks=2)
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(table, plan=plan)[0].collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["tiny"] == 30.0 and 140 < target["small"] < 150
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    mixed = Counter(r.source for r in mixing.mixed_documents(table, plan=plan).collect())
+    assert mixed["tiny"] == 3 and abs(10 * mixed["small"] - target["small"]) < 10
+
+
+def test_op10_quotas_are_the_highest_quotients():
+    rng = random.Random(7)
+    for _ in range(200):
+        votes = [rng.choice([0.0, 1.0, 2.0, 1000 * rng.random()]) for _ in range(rng.randint(1, 9))]
+        seats, shards = rng.choice([0, 1, 7, 300]), rng.randint(1, 9)
+        ranked = sorted((-v / (2 * k + 1), i) for i, v in enumerate(votes) if v for k in range(seats))[:seats]
+        expected = [[0] * len(votes) for _ in range(shards)]
+        for seat, (_, i) in enumerate(ranked):
+            expected[seat * shards // seats][i] += 1
+        assert mixing.sainte_lague(votes, seats, shards) == expected
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + i, 2001 + i) for i in range(60)]

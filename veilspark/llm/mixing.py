@@ -1,9 +1,10 @@
 """Operator 10: mixing sources to target weights by Sainte-Lague apportionment.
 
-The mix has as many words as the corpus. It is cut into equal blocks, which go one by one to the source with the
-highest quotient target / (2 * blocks + 1); consecutive awards fill the shards, so that every shard has integer
-quotas. A source's documents are laid end to end in a seeded order; quotas beyond the source's size repeat it
-whole, and the rest is met by a seeded, evenly spread choice of its blocks.
+The mix has as many words as the corpus. They go one by one to the source with the highest quotient
+target / (2 * words + 1); consecutive awards fill the shards, so that every shard has integer quotas. A source's
+documents are laid end to end in a seeded order; quotas beyond the source's size repeat it whole, and the rest is met
+by a seeded, evenly spread choice of its blocks, the last of which is cut at the word that meets the quota. A source
+smaller than a block is one block, so that a quota is met to the word at every size of the corpus.
 
 Defined results: a null source is a source of its own, after all others; a null or empty text has size 0 and is
 taken 0 times; an empty table gives an empty result. Rows that are equal in id and text are interchangeable.
@@ -30,7 +31,8 @@ from veilspark.llm.textbytes import Chunk
 @dataclass(frozen=True)
 class MixPlan:
     """weights go to the sources in order, again and again; no source gives more than most_repeats times its size.
-    blocks: the number of blocks that the mix is cut into, at most; it bounds the work of the driver."""
+    blocks: the number of blocks that the corpus is cut into for the choice, at most, and one more for each source; it
+    bounds the work of the driver. Quotas don't hang on it."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     most_repeats: int = 3
@@ -56,17 +58,47 @@ def targets(sizes: list[int], weights: list[float], most_repeats: int) -> list[f
 
 
 def sainte_lague(votes: list[float], seats: int, shards: int) -> list[list[int]]:
-    """Quotas by shard and source: seats go to the highest quotients, ties to the earlier source."""
-    heap = [(-v, i, 0) for i, v in enumerate(votes) if v > 0]
-    heapq.heapify(heap)
+    """Quotas by shard and source: seats go to the highest quotients, ties to the earlier source.
+
+    What one quotient awards at least is taken at once; only the last few seats of a shard are awarded one by one.
+    """
+    given = [i for i, v in enumerate(votes) if v > 0]
+    total = sum(votes[i] for i in given)
     quotas = [[0] * len(votes) for _ in range(shards)]
-    for seat in range(seats if heap else 0):
-        _, i, had = heap[0]
-        quotas[seat * shards // seats][i] += 1
-        heapq.heapreplace(heap, (-votes[i] / (2 * had + 3), i, had + 1))
+    had = [0] * len(votes)
+    for shard in range(shards if given else 0):
+        before, goal = had[:], -(-(shard + 1) * seats // shards)
+        if goal > len(given):
+            # the awards down to this quotient are no more than goal; one less for each source, for rounding
+            least = total / (2 * goal - len(given))
+            for i in given:
+                had[i] = max(had[i], int((votes[i] / least + 1) / 2) - 1)
+        heap = [(-votes[i] / (2 * had[i] + 1), i) for i in given]
+        heapq.heapify(heap)
+        for _ in range(goal - sum(had)):
+            _, i = heap[0]
+            had[i] += 1
+            heapq.heapreplace(heap, (-votes[i] / (2 * had[i] + 1), i))
+        quotas[shard] = [h - b for h, b in zip(had, before)]
     return quotas
 
 
+def chosen_blocks(size: int, rest: int, block: int, seed: int) -> tuple[int, int, int, int]:
+    """n_blocks, picked, offset and cut of a choice of `rest` of `size` words: block b is chosen where
+    (b * picked + offset) div n_blocks steps up, and words from cut on are not taken."""
+    n = max(1, -(-size // block))
+    offset = seed % n
+    if not rest:
+        return n, 0, offset, 0
+    picked = -(-rest // block)
+    short = n * block - size if ((n - 1) * picked + offset) // n < picked else 0
+    if picked * block - short < rest:
+        picked += 1
+    full = (rest - 1) // block
+    last = -(-((full + 1) * n - offset) // picked) - 1
+    return n, picked, offset, last * block + rest - full * block
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Narrow rows: id, source, the number of words and a hash of the text."""
     kinds = dict(docs.dtypes)
@@ -88,7 +120,7 @@ def order_of(id_col: str, text_hash: str, seed: int) -> Column:
 
 def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan: MixPlan) -> tuple[DataFrame, list[tuple], list[list[int]], int]:
     """Documents with the words before them in their source, the sources (key, source, size, target, whole, n_blocks,
-    picked, offset), quotas by shard and source, and the words of a block."""
+    picked, offset, rest, cut), quotas by shard and source in words, and the words of a block."""
     rows = written(sized(docs, id_col, text_col, source_col).withColumn("key", source_key(F.col("source"))), "sized")
     #: One row for each source: what a mix by source has to hold on the driver.
     found = sorted(rows.groupBy("key", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
@@ -96,15 +128,14 @@ def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan: Mi
     total = sum(sizes)
     goal = targets(sizes, [float(plan.weights[i % len(plan.weights)]) for i in range(len(sizes))], plan.most_repeats)
     block = max(1, -(-total // plan.blocks))
-    quotas = sainte_lague(goal, total // block, plan.shards)
+    quotas = sainte_lague(goal, total, plan.shards)
     laid = []
     for i, r in enumerate(found):
-        words = min(block * sum(q[i] for q in quotas), plan.most_repeats * r["size"])
+        words = min(sum(q[i] for q in quotas), plan.most_repeats * r["size"])
         whole = words // max(1, r["size"])
-        n_blocks = max(1, -(-r["size"] // block))
-        picked = min(n_blocks, round((words - whole * r["size"]) / block))
-        offset = int.from_bytes(hashlib.sha256(f"{plan.seed}:{r.key}".encode()).digest()[:8], "big") % n_blocks
-        laid.append((r.key, r.source, r["size"], goal[i], whole, n_blocks, picked, offset))
+        rest = words - whole * r["size"]
+        n_blocks, picked, offset, cut = chosen_blocks(r["size"], rest, block, int.from_bytes(hashlib.sha256(f"{plan.seed}:{r.key}".encode()).digest()[:8], "big"))
+        laid.append((r.key, r.source, r["size"], goal[i], whole, n_blocks, picked, offset, rest, cut))
     bits = max(9, (buckets(sum(r.n for r in found)) - 1).bit_length())
     ordered = rows.withColumn("order", order_of("id", "text_hash", plan.seed))
     placed = running_sum(ordered, ["key"], F.shiftright("order", 63 - bits), [F.col("order"), F.col("id"), F.col("text_hash")], F.col("size"), "before")
@@ -118,10 +149,10 @@ def source_key(source: Column) -> Column:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
     """One row for each document (id_col, text_hash, source, size, source_size, target, taken), and the quotas: one
-    row for each shard and source, in blocks of block_words words."""
+    row for each shard and source, in units of block_words (1) words."""
     spark = docs.sparkSession
     placed, laid, quotas, block = _laid(docs, id_col, text_col, source_col, plan)
-    by_source = spark.createDataFrame([(k, *rest) for k, _, *rest in laid], "key string, source_size long, target double, whole long, n_blocks long, picked long, offset long")
+    by_source = spark.createDataFrame([(k, *rest) for k, _, *rest in laid], "key string, source_size long, target double, whole long, n_blocks long, picked long, offset long, rest long, cut long")
     if len(laid) <= 100_000:
         by_source = F.broadcast(by_source)
     placed = placed.join(by_source, "key")
@@ -130,25 +161,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = f"(({at}) div {block})"
         count = f"(({full} * picked + offset) div n_blocks)"
         following = f"((({full} + 1) * picked + offset) div n_blocks)"
-        return F.expr(f"{count} * {block} + IF({following} > {count}, ({at}) % {block}, 0)")
+        return F.expr(f"LEAST(rest, {count} * {block} + IF({following} > {count}, ({at}) % {block}, 0))")
 
     taken = (F.col("whole") * F.col("size") + picked_before("before + size") - picked_before("before")).cast("long")
     per_doc = placed.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", taken.alias("taken"))
-    shares = spark.createDataFrame([(s, name, q[i], block) for s, q in enumerate(quotas) for i, (_, name, *_) in enumerate(laid)], "shard int, source string, quota long, block_words long")
+    shares = spark.createDataFrame([(s, name, q[i], 1) for s, q in enumerate(quotas) for i, (_, name, *_) in enumerate(laid)], "shard int, source string, quota long, block_words long")
     return per_doc, shares
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:
     """docs as whole documents: each as often as its source is repeated whole, and once more if the block in which it
-    starts is picked; all columns stay. No text is shuffled: a block is a range of the seeded order, and the ranges
-    (at most plan.blocks, and one for each source) go to all tasks. Rows equal in id and text share a decision."""
+    starts is picked and the word at which it starts is before the cut; all columns stay. No text is shuffled: a block is a range of the seeded order, and the ranges
+    (at most plan.blocks, and two for each source) go to all tasks. Rows equal in id and text share a decision."""
     placed, laid, _, block = _laid(docs, id_col, text_col, source_col, plan)
-    starts = placed.where("size > 0").groupBy("key", F.expr(f"before div {block}").alias("block")).agg(F.min("order").alias("first")).collect()
+    cuts = docs.sparkSession.createDataFrame([(key, cut) for key, *_, cut in laid], "key string, cut long")
+    if len(laid) <= 100_000:
+        cuts = F.broadcast(cuts)
+    starts = placed.where("size > 0").join(cuts, "key").groupBy("key", F.expr(f"before div {block}").alias("block"), F.expr("before >= cut").alias("past")).agg(F.min("order").alias("first")).collect()
+    found: dict[str, list] = {}
+    for r in starts:
+        found.setdefault(r["key"], []).append((r["first"], r["block"], r["past"]))
     ranges: dict[str, tuple] = {}
-    for key, _, _, _, whole, n_blocks, picked, offset in laid:
-        own = sorted((r["first"], r["block"]) for r in starts if r["key"] == key)
-        chosen = [(b + 1) * picked + offset >= (b * picked + offset) // n_blocks * n_blocks + n_blocks for _, b in own]
-        ranges[key] = (whole, np.array([f for f, _ in own], np.int64), np.array(chosen, bool))
+    for key, _, _, _, whole, n_blocks, picked, offset, _, _ in laid:
+        own = sorted(found.get(key, []))
+        chosen = [not past and (b + 1) * picked + offset >= (b * picked + offset) // n_blocks * n_blocks + n_blocks for _, b, past in own]
+        ranges[key] = (whole, np.array([f for f, *_ in own], np.int64), np.array(chosen, bool))
     held = docs.sparkSession.sparkContext.broadcast(ranges)
 
     @F.pandas_udf("int")
