@@ -22,12 +22,8 @@ def evidence_map(spark: SparkSession) -> DataFrame:
     """(position, framework, identifier, kind, key): what covers an identifier."""
     rows, position = [], 0
     for framework, identifiers in C.EVIDENCE.items():
-        for identifier, spec in identifiers.items():
-            kind = ""
-            for word in spec.split():
-                if ":" in word:
-                    kind, word = word.split(":")
-                rows.append((position, framework, identifier, kind, word))
+        for identifier, kinds in identifiers.items():
+            rows += [(position, framework, identifier, kind, name) for kind, names in kinds.items() for name in names]
             position += 1
     return spark.createDataFrame(rows, "position int, framework string, identifier string, kind string, key string")
 

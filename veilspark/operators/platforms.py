@@ -11,7 +11,7 @@ from veilspark.functions import catalog as C
 def detect_platforms(tables: DataFrame) -> DataFrame:
     """tables: db, table_name. (db, db_type): the first kind all of whose tables are there; null without any."""
     spark = tables.sparkSession
-    wanted = [(i, kind, sorted(n.lower() for n in names.split())) for i, (kind, names) in enumerate(C.SIGNATURES)]
+    wanted = [(i, kind, sorted(n.lower() for n in names)) for i, (kind, names) in enumerate(C.SIGNATURES)]
     parts = spark.createDataFrame([(i, kind, n, len(names)) for i, kind, names in wanted for n in names], "position int, db_type string, table_name string, needed int")  # a few rows for each kind
     low = tables.select("db", F.lower("table_name").alias("table_name")).distinct()
     full = low.join(F.broadcast(parts), "table_name").groupBy("db", "position", "db_type", "needed").agg(F.count("*").alias("n")).where("n = needed")
@@ -22,18 +22,18 @@ def detect_platforms(tables: DataFrame) -> DataFrame:
 def emptied_tables(tables: DataFrame) -> DataFrame:
     """(db, db_type, table_name) of the tables to empty."""
     spark = tables.sparkSession
-    rule = spark.createDataFrame([(kind, n.lower()) for kind, names in C.EMPTIED_TABLES.items() for n in names.split()], "db_type string, low string")
+    rule = spark.createDataFrame([(kind, n.lower()) for kind, names in C.EMPTIED_TABLES.items() for n in names], "db_type string, low string")
     return tables.join(detect_platforms(tables).where("db_type IS NOT NULL"), "db").withColumn("low", F.lower("table_name")).join(F.broadcast(rule), ["db_type", "low"], "left_semi").select("db", "db_type", "table_name")
 
 
 def handle_table(df: DataFrame, db_type: str, table: str) -> DataFrame:
     """A table of a known kind of database after its handler: emptied, redacted by column, or as it is."""
     low = table.lower()
-    if low in C.EMPTIED_TABLES.get(db_type, "").lower().split():
+    if low in {n.lower() for n in C.EMPTIED_TABLES.get(db_type, ())}:
         return df.limit(0)
     for name, columns, put in C.REDACTED_COLUMNS.get(db_type, ()):
         if name.lower() == low:
-            wanted = columns.lower().split()
+            wanted = {c.lower() for c in columns}
             df = df.withColumns({c: F.when(F.col(c).isNotNull(), put) for c in df.columns if c.lower() in wanted})
     if db_type == "knowledgec" and low == "zobject":
         df = knowledge_rows(df)

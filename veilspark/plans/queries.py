@@ -215,11 +215,8 @@ def sql_coverage(mode: str) -> str:
     got = {("action", a) for a, _ in ACTIONS} | {(("col" if t.startswith("sens") else "table" if t.startswith("pii") else "type"), t.split(":")[-1]) for _, ts in ACTIONS for t in ts.split()}
     rows, frameworks = [], coverage.FRAMEWORKS[mode]
     for framework in frameworks:
-        for identifier, spec in C.EVIDENCE[framework].items():
-            kind = ""
-            for word in spec.split():
-                kind, word = word.split(":") if ":" in word else (kind, word)
-                rows.append(f"({quoted(framework)}, {quoted(identifier)}, {quoted(kind)}, {quoted(word)})")
+        for identifier, kinds in C.EVIDENCE[framework].items():
+            rows += [f"({quoted(framework)}, {quoted(identifier)}, {quoted(kind)}, {quoted(name)})" for kind, names in kinds.items() for name in names]
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(got))
     open_ = "".join(f" UNION ALL SELECT {quoted(f)}, {quoted(g)}, false" for f in frameworks for g in coverage.OPEN_GAPS.get(f, ()))
     return f"WITH m(framework, identifier, kind, word) AS (VALUES {', '.join(rows)}), g(kind, word) AS (VALUES {values}) SELECT framework, identifier, bool_or(EXISTS (SELECT 1 FROM g WHERE (g.kind = m.kind AND g.word = m.word) OR (m.kind = 'prefix' AND g.kind = 'type' AND starts_with(g.word, m.word)))) AS covered FROM m GROUP BY framework, identifier{open_}"
