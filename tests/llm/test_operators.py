@@ -267,6 +267,25 @@ def test_op6_repeats(spark, docs, none, length, gram):
     assert repeated_spans.remove_repeats(none, rule=rule).isEmpty() and repeated_spans.remove_repeats(docs.where("doc_id = 3"), rule=rule).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_op6_one_head_and_slices(spark):
+    """All strings start alike, ranges are many, and texts are longer than a slice."""
+    rng = random.Random(12)
+    head = "Copyright (c) all rights reserved. "
+    pool = [head + "".join(rng.choice("abcdef ") for _ in range(120)) for _ in range(40)]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.7 else head + str(rng.random()) * 3 for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rule = repeated_spans.RepeatRule(length=80, gram=8, part_bytes=1_500, flush_bytes=4_000, sample_every=2)
+    gone = removed_by_force([t.encode() for t in texts], 80)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_removed, r.has_repeat, [(s.start, s.end) for s in r.spans]) for r in repeated_spans.remove_repeats(frame, rule=rule).collect()}
+    assert got == {i: (sum(g), sum(g) > 0, [m.span() for m in re.finditer(b"\1+", bytes(g))]) for i, g in enumerate(gone)}
+    cuts = repeated_spans.splitters(spark.createDataFrame([(p[:80].encode(),) for p in pool * 3], "s binary"), 8)
+    assert 4 <= len(cuts) <= 8 and cuts == sorted(cuts) and all(c.startswith(head.encode()) for c in cuts)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    whole, sliced = (repeated_spans.window_runs(data, np.array([0, len(data)]), rule, step) for step in (1 << 30, 1_000))
+    covered = [sorted(w for a, m in zip(x[1].tolist(), x[2].tolist(), strict=True) for w in range(a, a + m + 1)) for x in (whole, sliced)]
+    assert covered[0] == covered[1] == list(range(len(data) - 79))
+
+
 def test_loser_tree_merges_with_common_prefixes():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(500)]
@@ -302,7 +321,7 @@ def test_op7_jaccard(spark, docs, none):
         if r.doc_id is not None:
             least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
     expected = Counter((r.doc_id, len(sets[i]), least.get(find(i), r.doc_id) if sets[i] else r.doc_id) for i, r in enumerate(rows))
-    for rule in (jaccard_join.JaccardRule(), jaccard_join.JaccardRule(tile_bytes=3000, dense=3)):
+    for rule in (jaccard_join.JaccardRule(), jaccard_join.JaccardRule(tile_bytes=3000, dense=3), jaccard_join.JaccardRule(tile_sets=2, dense=3)):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_classes(docs, rule=rule).collect())
         assert got == expected
     kept = jaccard_join.keep_one_of_each(docs)
@@ -442,8 +461,8 @@ def test_components(spark):
         if a != b:
             a, b = sorted((find(a), find(b)))
             parent[b] = a
-    for most in (0, 200_000):  # by all tasks, and by one
-        rows = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=most).collect()
+    for most in (40, 200_000):  # by several tasks, and by one
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), per_task=most).collect()
         assert {r.node: r.label for r in rows} == {v: find(v) for v in parent} and len(rows) == len(parent)
     assert connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
 

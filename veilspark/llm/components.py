@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.runtime import join_salted, written
+from veilspark.llm.runtime import written
 
 
 class Forest:
@@ -63,41 +63,35 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").where("a <> b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-#: Contracted edges that one task may solve; more are solved by all.
-ONE_TASK = 200_000
+#: Edges that one task contracts.
+EDGES_PER_TASK = 200_000
 
 
-def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def connected_components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, label): label is the smallest node reachable; only nodes of edges are listed.
 
-    Up to one_task contracted edges (counted first) go to one task. Beyond that, hooking and pointer jumping: a node
-    takes the smallest label around it, its root too, then its label's label.
+    Rounds over edges (a, b) with b < a, in as many tasks as there are `per_task` edges. First every task, which has
+    all edges of its nodes a, contracts them to stars by union-find. Then every edge (a, b) jumps to (a, the least
+    parent of b). Neither step adds edges nor parts what is connected, since the nodes on the way to a root keep edges
+    upwards. The rounds end when every node has one parent, and that a root; in one task the first step does it.
+    A node has at most one row from each task in the first step; hot parents in the second are split by the skew join.
     """
-    spark = edges.sparkSession
     edges = written(contract(edges), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    if edges.count() <= one_task:
-        trees = written(contract(edges.coalesce(1)), "trees")
-        return trees.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(trees.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.groupBy("a").agg(F.count("*").alias("degree"))
-    both, degree = written(both, "both"), written(degree, "degree")
-    total = both.count()
-    labels = written(degree.select(F.col("a").alias("node"), F.col("a").alias("label"), "degree"), "labels")
-    nodes = labels.count()
+    n = edges.count()
     turn = 0
-    while True:
-        near = join_salted(both, labels.select(F.col("node").alias("a"), "label", "degree"), "a", "degree", total, F.xxhash64("b"))
-        seen = near.select(F.col("b").alias("node"), F.col("label").alias("near")).groupBy("node").agg(F.min("near").alias("near"))
-        hooked = labels.join(seen, "node").withColumn("least", F.least("label", "near"))
-        to_root = hooked.where("near < label").groupBy(F.col("label").alias("node")).agg(F.min("near").alias("root_near"))
-        hooked = written(hooked.join(to_root, "node", "left").select("node", F.least("least", F.coalesce("root_near", "least")).alias("next"), "label", "degree"), f"hooked{turn}")
-        sizes = hooked.groupBy(F.col("next")).agg(F.count("*").alias("rows"))
-        up = sizes.join(hooked.select(F.col("node").alias("next"), F.col("next").alias("up")), "next")
-        jumped = join_salted(hooked, up, "next", "rows", nodes, F.xxhash64("node"))
-        moved = written(jumped.select("node", F.least("next", "up").alias("label"), "degree", (F.least("next", "up") < F.col("label")).alias("moved")), f"labels{turn}")
-        labels = moved.drop("moved")
-        turn += 1
-        if moved.where("moved").isEmpty():
-            return labels.select("node", "label")
+    while n:
+        tasks = -(-n // per_task)
+        stars = written(contract(edges.repartition(tasks, "a") if tasks > 1 else edges.coalesce(1)), f"stars{turn}")
+        if tasks == 1:
+            edges = stars
+            break
+        parents = stars.groupBy("a").agg(F.min("b").alias("up"), F.count("*").alias("n"))
+        parents = written(parents.select(F.col("a").alias("b"), "up", "n"), f"parents{turn}")
+        jumped = stars.join(parents.select("b", "up"), "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("jumped"))
+        jumped = written(jumped, f"jumped{turn}")
+        edges, turn = jumped.select("a", "b"), turn + 1
+        at = jumped.agg(F.count("*").alias("n"), F.count_if("jumped").alias("jumped")).first()
+        n = at.n
+        if not at.jumped and n == parents.count():
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

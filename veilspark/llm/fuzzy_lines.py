@@ -39,6 +39,7 @@ class LineRule:
     percent: int = 80
     bands: int = 9
     rows: int = 4
+    tile_sets: int = 128
     tile_bytes: int = 6 << 20
 
 
@@ -173,7 +174,7 @@ def _edges(stars: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
-    """(name, members, comp) of the lines whose key is in comps, each once; members is the line itself."""
+    """(name, members, comp, n) of the lines whose key is in comps, each once: the line itself, and how many shingles it has."""
     held = bloom_of(comps.select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("key")), "key")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +192,11 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
                                 names.append(name)
                                 lines.append(line.encode())
                 if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["key", "name", "members"])
+                    sizes = [len(x) for x in line_sets(lines, rule.q)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "name", "members", "n"])
 
-    sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
-    return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
+    sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary, n long")
+    return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"), F.first("n").alias("n"))
 
 
 def line_classes(docs: DataFrame, described: DataFrame, rule: LineRule) -> DataFrame | None:
@@ -205,7 +207,7 @@ def line_classes(docs: DataFrame, described: DataFrame, rule: LineRule) -> DataF
     comps = written(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "comps")
     sets = written(_sets_of(docs, comps, rule), "sets")
     q = rule.q
-    return verified(sets, JaccardRule(percent=rule.percent, tile_bytes=rule.tile_bytes), lambda lines: line_sets(lines, q)).where("name <> label")
+    return verified(sets, JaccardRule(percent=rule.percent, tile_sets=rule.tile_sets, tile_bytes=rule.tile_bytes), lambda lines: line_sets(lines, q)).where("name <> label")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: LineRule = LineRule()) -> DataFrame:

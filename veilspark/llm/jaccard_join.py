@@ -9,9 +9,9 @@ to connected candidate components (never to all pairs); a bucket of more than `d
 
 Verification reads the texts again, keeps the sets of candidate components only (by a Bloom filter of bounded size,
 then by an exact join), and runs the R-tree with exact overlaps inside each component. A component of more than
-`tile_bytes` is cut into tiles: first inside the tiles, then over one set for each link class of a tile, and, for
-the components that are then still apart, over all pairs of tiles. Every pair of sets in one component is so either
-checked, pruned by a bound, or already connected: no link is lost.
+`tile_sets` sets is cut into tiles: first inside the tiles, then over one set for each link class of a tile, and, for
+the components that are then still apart, over the pairs of tiles whose sizes allow links. Every pair of sets in one
+component is so either checked, pruned by a bound, or already connected: no link is lost.
 
 Defined results: a text without words, or null, has no shingles and is linked with nothing; fewer words than k form
 one shingle; a null id counts as no id (component_id is the smallest that is not null); rows with equal ids are
@@ -47,6 +47,9 @@ class JaccardRule:
     percent: int = 85
     groups: int = 32
     dense: int = 2000
+    tile_sets: int = 128
+    tiles: int = 64
+    tile_limit: int = 4000
     tile_bytes: int = 48 << 20
     sketch_bits: int = 18
 
@@ -334,7 +337,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["key", "name", "members"])
 
     sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
-    return sets.join(wanted, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
+    return sets.join(wanted, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp")).withColumn("n", (F.octet_length("members") / 8).cast("long"))
 
 
 def whole_sets(members: list[bytes]) -> list[np.ndarray]:
@@ -370,27 +373,45 @@ def _classes(rows: DataFrame, keys: list[str], percent: int, unpack: Callable[[l
 
 
 def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets) -> DataFrame:
-    """(name, label) for the sets (name, members, comp) of candidate components: label is the smallest name linked."""
-    sizes = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum(F.octet_length("members")).alias("bytes")).withColumn("tiles", F.ceil(F.greatest(F.col("bytes") / rule.tile_bytes, F.col("rows") / 4000)).cast("long"))
+    """(name, label) for the sets (name, members, n, comp) of candidate components: label is the smallest name linked.
+
+    A component of up to `tile_sets` sets is one tile. A larger one is dealt by bands of sizes, of which only equal or
+    neighbouring ones can hold links, and a band in tiles of `tile_sets` sets, `tiles` of them at most unless a tile
+    would hold more than `tile_limit` sets or `tile_bytes` bytes.
+    """
+    width = -float(np.log(rule.percent / 100)) * 1.000001  # above the largest distance of linked sets' logarithms
+    banded = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
     total = sets.count()
-    tiled = join_salted(sets, sizes, "comp", "rows", total, F.xxhash64("name")).withColumn("tile", F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).withColumn("class", F.lit(None).cast("binary"))
-    tiled = written(tiled.select("name", "members", "comp", "tile", "tiles", "class"), "tiled")
-    inside = written(_classes(tiled, ["comp", "tile"], rule.percent, unpack), "inside")
-    if tiled.where("tiles > 1").isEmpty():
+    each = banded.groupBy("comp", "band").agg(F.count("*").alias("rows"), F.sum(F.octet_length("members")).alias("bytes"))
+    count = F.greatest(F.least(F.lit(rule.tiles), F.col("rows") / rule.tile_sets), F.col("rows") / rule.tile_limit, F.col("bytes") / rule.tile_bytes)
+    each = written(each.withColumn("tiles", F.ceil(count).cast("long")), "bands")
+    whole = each.groupBy("comp").agg(F.sum("rows").alias("in_comp"), F.sum("bytes").alias("in_bytes"), F.sum("tiles").alias("all_tiles"))
+    lone = (F.col("in_comp") <= rule.tile_sets) & (F.col("in_bytes") <= rule.tile_bytes)
+    cells = each.join(whole, "comp").select(F.xxhash64("comp", "band").alias("cell"), "rows", "tiles", "all_tiles", lone.alias("lone"))
+    cells = cells.groupBy("cell").agg(F.max("rows").alias("rows"), F.max("tiles").alias("tiles"), F.max("all_tiles").alias("all_tiles"), F.bool_and("lone").alias("lone"))
+    tiled = join_salted(banded.withColumn("cell", F.xxhash64("comp", "band")), written(cells, "cells"), "cell", "rows", total, F.xxhash64("name"))
+    tiled = tiled.withColumn("band", F.when(F.col("lone"), F.lit(0)).otherwise(F.col("band")).cast("long")).withColumn("tile", F.when(F.col("lone"), F.lit(0)).otherwise(F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).cast("long"))
+    tiled = written(tiled.select("name", "members", "comp", "band", "tile", "all_tiles", "lone", F.lit(None).cast("binary").alias("class")), "tiled")
+    inside = written(_classes(tiled, ["comp", "band", "tile"], rule.percent, unpack), "inside")
+    if tiled.where("NOT lone").isEmpty():
         return inside.select("name", F.col("class").alias("label"))
-    large = tiled.where("tiles > 1").drop("class").join(inside.drop("comp", "tile"), "name")
+    large = tiled.where("NOT lone").drop("class", "lone").join(inside.select("name", "class"), "name")
     heads = large.where("name = class")
-    part = F.pmod(F.xxhash64("name", F.lit(8)), F.ceil(F.sqrt("tiles")).cast("long"))
-    # heads of one component are few unless it falls apart; they meet by parts, and what parts miss is left to the pairs of tiles
+    part = F.pmod(F.xxhash64("name", F.lit(8)), F.ceil(F.sqrt("all_tiles")).cast("long"))
+    # one head for each class of a tile; they meet by parts, and what parts miss is left to the pairs of tiles
     over = _classes(heads.withColumn("part", part).withColumn("class", F.lit(None).cast("binary")), ["comp", "part"], rule.percent, unpack)
     edges = written(inside.select(F.col("name").alias("a"), F.col("class").alias("b")).unionByName(over.select(F.col("name").alias("a"), F.col("class").alias("b"))), "links")
     labels = written(connected_components(edges).select(F.col("node").alias("name"), "label"), "joined")
     known = large.drop("class").join(labels, "name", "left").withColumn("class", F.coalesce("label", "name")).drop("label")
     apart = known.groupBy("comp").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high").select("comp", "rows")
-    rest = join_salted(known, apart, "comp", "rows", total, F.xxhash64("name"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    pairs = rest.withColumn("other", other).where("other <> tile").withColumn("pair", F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other"))
-    across = _classes(pairs, ["comp", "pair"], rule.percent, unpack)
+    rest = written(join_salted(known, written(apart, "apart"), "comp", "rows", total, F.xxhash64("name")), "rest")
+    # tiles that may hold links between them, by their bands: (low tile, high tile), both of which get all of their sets
+    tiles = rest.select("comp", "band", "tile").distinct()
+    first, second = tiles.withColumnRenamed("tile", "tile_a").withColumnRenamed("band", "band_a"), tiles.withColumnRenamed("tile", "tile_b").withColumnRenamed("band", "band_b")
+    near = F.explode(F.array(F.col("band_a"), F.col("band_a") + 1))
+    pairs = first.withColumn("band_b", near).join(second, ["comp", "band_b"]).where("band_a < band_b OR tile_a < tile_b").withColumn("pair", F.xxhash64("band_a", "tile_a", "band_b", "tile_b"))
+    sides = pairs.select("comp", "pair", F.explode(F.array(F.struct(F.col("band_a").alias("band"), F.col("tile_a").alias("tile")), F.struct(F.col("band_b").alias("band"), F.col("tile_b").alias("tile")))).alias("s")).select("comp", "pair", "s.*")
+    across = _classes(rest.join(sides, ["comp", "band", "tile"]), ["comp", "pair"], rule.percent, unpack)
     edges = edges.unionByName(across.select(F.col("name").alias("a"), F.col("class").alias("b")))
     final = connected_components(edges).select(F.col("node").alias("name"), "label")
     return inside.select("name").join(final, "name", "left").select("name", F.coalesce("label", "name").alias("label"))

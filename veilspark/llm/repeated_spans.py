@@ -18,16 +18,18 @@ Copies: texts that are equal as a whole are one text in all of this; if `length`
 No group of copies meets in one task: a task sends one of equal strings or windows.
 
 Defined results: a null text counts as empty; texts shorter than `length` stay; a null or repeated id is an ordinary
-row; an empty table gives an empty result. Other columns are not read.
+row; an empty table gives an empty result. Other columns are not read. A very long text is looked at in slices of 4 MB
+and hashed in memory of a bounded size; the text itself has to fit in a task.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +49,14 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 @dataclass(frozen=True)
 class RepeatRule:
     """length: bytes of a repeat. gram: bytes of the hash that places windows. part_bytes: of strings and windows
-    that one task of the merge takes. flush_bytes: of strings that a task sorts at once."""
+    that one task of the merge takes. flush_bytes: of strings that a task sorts at once. sample_every: one of so many
+    strings, by its fingerprint, is a sample for the cuts between ranges."""
 
     length: int = 400
     gram: int = 32
     part_bytes: int = 24 << 20
     flush_bytes: int = 32 << 20
+    sample_every: int = 256
 
     @property
     def reach(self) -> int:
@@ -76,9 +80,25 @@ class Hashed:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray, rule: RepeatRule) -> tuple[np.ndarray, ...]:
+#: Bytes of a text whose windows are looked at together; about a hundred times as many bytes of memory are held.
+SLICE = 4 << 20
+
+
+def window_runs(data: np.ndarray, offsets: np.ndarray, rule: RepeatRule, step: int = SLICE) -> tuple[np.ndarray, ...]:
     """Runs of windows of one position and side: text, start of the first window, number of windows less one,
-    fingerprint of the whole string, and of the core. Starts count from the text's own start."""
+    fingerprint of the whole string, and of the core. Starts count from the text's own start. A longer text is taken
+    in slices; a run that a slice cuts is two runs, whose windows are compared like those of any other."""
+    if len(offsets) != 2 or len(data) <= step:
+        return _runs_of(data, offsets, rule)
+    parts = []
+    for lo in range(0, len(data) - rule.length + 1, step):
+        part = data[lo : lo + step + rule.length - 1]
+        text, start, *rest = _runs_of(part, np.array([0, len(part)]), rule)
+        parts.append((text, start + lo, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _runs_of(data: np.ndarray, offsets: np.ndarray, rule: RepeatRule) -> tuple[np.ndarray, ...]:
     n, length = len(data), rule.length
     sizes = np.diff(offsets)
     valid = np.zeros(n + 1, np.int64)
@@ -242,7 +262,7 @@ def merged_repeats(runs: list[Iterator[Item]], length: int) -> Iterator[tuple[by
 
 def _described(docs: DataFrame, rule: RepeatRule) -> DataFrame:
     kind = dict(docs.dtypes)["id"]
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("more", pa.int32()), ("whole", pa.int64()), ("core", pa.int64()), ("head", pa.int64())]))
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("more", pa.int32()), ("whole", pa.int64()), ("core", pa.int64()), ("sample", pa.binary())]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -253,23 +273,20 @@ def _described(docs: DataFrame, rule: RepeatRule) -> DataFrame:
                 names = part.column("name").to_pylist()
                 text, start, more, whole, core = window_runs(chunk.data, chunk.offsets, rule)
                 at = start + chunk.offsets[text] if len(text) else start
-                sampled = np.flatnonzero(whole & 63 == 0)  # for the splitters
-                head = np.zeros(len(start), np.int64)
-                for b in range(8):
-                    head[sampled] = head[sampled] << 8 | chunk.data[at[sampled] + b]
-                head ^= np.int64(-(2**63))  # so that signed order is the order of bytes
-                mask = np.ones(len(start), bool)
-                mask[sampled] = False
+                drawn = np.flatnonzero((whole.view(np.uint64) >> np.uint64(20)) % np.uint64(rule.sample_every) == 0)  # for the splitters
+                samples: list[bytes | None] = [None] * len(start)
+                for i in drawn.tolist():
+                    samples[i] = chunk.data[at[i] : at[i] + rule.length].tobytes()
                 counts = np.bincount(text, minlength=chunk.n) if len(text) else np.zeros(chunk.n, np.int64)
                 fresh = np.array([not (x in seen or seen.add(x)) for x in names], bool)
                 kept = fresh[text] if len(text) else np.zeros(0, bool)
                 offsets = np.concatenate([[0], np.cumsum(np.where(fresh, counts, 0))])
-                fields = [pa.array(start[kept].astype(np.int32)), pa.array(more[kept].astype(np.int32)), pa.array(whole[kept]), pa.array(core[kept]), pa.array(head[kept], mask=mask[kept])]
+                fields = [pa.array(start[kept].astype(np.int32)), pa.array(more[kept].astype(np.int32)), pa.array(whole[kept]), pa.array(core[kept]), pa.array([samples[i] for i in np.flatnonzero(kept).tolist()], pa.binary())]
                 runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(run_type.value_type)))
                 digests = [hashlib.sha256(chunk.text(i)).hexdigest() for i in range(chunk.n)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(np.diff(chunk.offsets)), pa.array(digests), runs], names=["id", "name", "n_bytes", "sha256", "runs"])
 
-    return docs.mapInArrow(run, f"id {kind}, name binary, n_bytes long, sha256 string, runs array<struct<start:int,more:int,whole:long,core:long,head:long>>")
+    return docs.mapInArrow(run, f"id {kind}, name binary, n_bytes long, sha256 string, runs array<struct<start:int,more:int,whole:long,core:long,sample:binary>>")
 
 
 def _needed_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -288,10 +305,44 @@ def _needed_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     return docs.select("name", "text").mapInArrow(run, "name binary, text string").groupBy("name").agg(F.first("text").alias("text"))
 
 
-def _sent(texts: DataFrame, splitters: list[int], parts: int, rule: RepeatRule) -> DataFrame:
+def splitters(samples: DataFrame, parts: int) -> list[bytes]:
+    """parts - 1 strings at most, in order, between which about as many of the sampled strings (one column) stand.
+
+    Samples are sorted by Spark; the driver gets the cuts alone, no longer than they need be to tell neighbours apart.
+    Samples are starts of `length` bytes, so that strings that share as much are in one range.
+    """
+    n = samples.count()
+    every = max(1, n // parts)
+    tasks = max(1, n // 50_000)
+
+    def pick(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, waiting = None, 0
+        for batch in frames:
+            cuts = []
+            for x in batch.column(0).to_pylist():
+                waiting += 1
+                if waiting >= every and before is not None and x != before:
+                    cuts.append(x[: shared(before, x) + 1])
+                    waiting = 0
+                before = x
+            yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["cut"])
+
+    (column,) = samples.columns
+    ordered = samples.repartitionByRange(tasks, column).sortWithinPartitions(column)
+    return sorted({r.cut for r in ordered.mapInArrow(pick, "cut binary").collect()})
+
+
+def _stretches(ranges: list[np.ndarray], step: int = SLICE) -> Iterator[np.ndarray]:
+    """Starts of windows in order, those of a stretch of the text together."""
+    if ranges:
+        at = np.sort(np.concatenate(ranges))
+        for stretch in np.split(at, np.flatnonzero(np.diff(at // step)) + 1):
+            yield stretch
+
+
+def _sent(texts: DataFrame, cuts: list[bytes], parts: int, rule: RepeatRule) -> DataFrame:
     """texts: name, text, marks. Rows (part, kind, payload): front-coded runs of strings (0), blocks of windows (1),
     and repeats found inside the task (2, as triples)."""
-    cuts = np.array(splitters, np.int64)
     length = rule.length
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +354,12 @@ def _sent(texts: DataFrame, splitters: list[int], parts: int, rule: RepeatRule)
 
         def flush_strings() -> None:
             ordered = sorted(strings.items())
-            heads = np.array([int.from_bytes(s[:8], "big") - (1 << 63) for s, _ in ordered], np.int64)
-            part = np.searchsorted(cuts, heads, "right")
-            bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                out.append((int(part[lo]), 0, front_code(ordered[lo:hi])))
+            lo = 0
+            while lo < len(ordered):
+                part = bisect_right(cuts, ordered[lo][0])
+                hi = bisect_left(ordered, cuts[part], lo, key=itemgetter(0)) if part < len(cuts) else len(ordered)
+                out.append((part, 0, front_code(ordered[lo:hi])))
+                lo = hi
             strings.clear()
 
         def flush_windows() -> None:
@@ -361,19 +413,18 @@ def _sent(texts: DataFrame, splitters: list[int], parts: int, rule: RepeatRule)
                             held += 80
                     if m["windows"]:
                         ranges.append(np.arange(m["start"], m["start"] + m["more"] + 1))
-                if ranges:
-                    at = np.concatenate(ranges)
-                    low = int(at.min())
-                    data = np.frombuffer(raw, np.uint8)[low : int(at.max()) + length]
+                for at in _stretches(ranges):
+                    low = int(at[0])
+                    data = np.frombuffer(raw, np.uint8)[low : int(at[-1]) + length]
                     both = [Hashed(data, j).spans(at - low, at - low + length) for j in range(2)]
                     windows.append((both[0], both[1], at, name))
                     n_windows += len(at)
+                    if n_windows > 1 << 20:
+                        flush_windows()
+                        n_windows = 0
                 if held > rule.flush_bytes:
                     flush_strings()
                     held = 0
-                if n_windows > 1 << 20:
-                    flush_windows()
-                    n_windows = 0
                 if len(out) > 1000:
                     yield from drain()
         flush_strings()
@@ -475,14 +526,8 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.select("name", "text", "found").mapInArrow(run, "name binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
-def _release(docs: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of finished stages."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: RepeatRule = RepeatRule()) -> DataFrame:
-    """One row for each document: id_col, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes, ends exclusive)."""
+    """One row for each document: id_col, n_bytes, n_removed, n_spans, kept_sha256, has_repeat and spans (bytes, ends exclusive)."""
     text = F.coalesce(docs[text_col], F.lit(""))
     docs = docs.select(docs[id_col].alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("name"))
     rows = written(_described(docs, rule), "described")
@@ -493,33 +538,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wholes = written(runs.groupBy("whole", "core").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("rows")).select("whole", "core", "low", "rows", (F.col("low") != F.col("high")).alias("twice")), "wholes")
     n_runs = wholes.agg(F.sum("rows")).first()[0] or 0
     if not n_runs:
-        return rows.select(F.col("id").alias(id_col), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
+        return rows.select(F.col("id").alias(id_col), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.lit(False).alias("has_repeat"))
     n_wholes = wholes.count()
     mixed = wholes.groupBy("core").agg(F.count("*").alias("n_wholes"), F.sum(F.when(F.col("twice"), 0).otherwise(1)).alias("singles")).where("n_wholes > 1 AND singles > 0").select("core", "n_wholes")
     known = join_salted(wholes, mixed, "core", "n_wholes", n_wholes, F.xxhash64("whole"), "left").where("twice OR n_wholes IS NOT NULL").select("whole", "rows", "low", "twice", F.col("n_wholes").isNotNull().alias("mixed"))
     known = written(known, "known")
     marked = join_salted(runs.drop("core"), known, "whole", "rows", n_runs, F.xxhash64("name", "start"))
-    marked = marked.select("name", "start", "more", F.col("twice").alias("sort"), (F.col("mixed") & (~F.col("twice") | (F.struct("name", "start") == F.col("low")))).alias("windows"), F.when(F.col("twice"), F.col("head")).alias("head"))
-    marks = written(marked.where("sort OR windows").groupBy("name", "start").agg(F.first("more").alias("more"), F.max("sort").alias("sort"), F.max("windows").alias("windows"), F.max("head").alias("head")), "marks")
-    _release(docs)
+    marked = marked.select("name", "start", "more", F.col("twice").alias("sort"), (F.col("mixed") & (~F.col("twice") | (F.struct("name", "start") == F.col("low")))).alias("windows"), F.when(F.col("twice"), F.col("sample")).alias("sample"))
+    marks = written(marked.where("sort OR windows").groupBy("name", "start").agg(F.first("more").alias("more"), F.max("sort").alias("sort"), F.max("windows").alias("windows"), F.max("sample").alias("sample")), "marks")
     weight = marks.agg(F.sum(F.when(F.col("sort"), F.col("more") + rule.length).otherwise(0) + F.when(F.col("windows"), 30 * (F.col("more") + 1)).otherwise(0))).first()[0] or 0
-    parts = max(8, min(1 << 16, -(-weight // rule.part_bytes)))
-    cuts = marks.where("head IS NOT NULL").agg(F.percentile_approx("head", [(i + 1) / parts for i in range(parts - 1)], 10_000)).first()[0] or []
+    parts = max(8, -(-weight // rule.part_bytes))
+    cuts = splitters(marks.where("sample IS NOT NULL").select("sample"), parts)
     by_text = marks.groupBy("name").agg(F.collect_list(F.struct("start", "more", "sort", "windows")).alias("marks"))
     names = marks.select("name").distinct()
     texts = written(_needed_texts(docs, names).join(by_text, "name"), "texts")
-    _release(docs)
-    found = _received(_sent(texts, sorted(set(cuts)), parts, rule), parts, rule)
+    found = _received(_sent(texts, cuts, parts, rule), parts, rule)
     by_name = written(found.groupBy("name").agg(F.collect_list(F.struct("start", "end")).alias("found")), "found")
-    _release(docs)
     cut = written(_cut(texts.join(by_name, "name")), "cut")
     counts = join_salted(rows.drop("runs"), copies, "name", "copies", total, F.xxhash64("id"))
     out = counts.join(cut.withColumn("copies", F.lit(1).cast("long")), ["name", "copies"], "left")  # a text with copies goes whole and needs no lookup
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= rule.length)
-    return out.select(
+    found = out.select(
         F.col("id").alias(id_col), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
         F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
     )
+    return found.withColumn("has_repeat", F.col("n_removed") > 0)

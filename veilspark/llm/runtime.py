@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Whether Spark drops the shuffle files of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset a local master, as in tests, gets a
+    folder of its own; a cluster has to name one, since its executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,11 +53,16 @@ atexit.register(_sweep)
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors.
 
-    Tables go when the driver process ends.
+    Shuffle files of the write go when it has ended: nothing reads them again. Tables go when the driver process ends.
     """
     spark = bounded_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,8 +96,8 @@ def running_sum(df: DataFrame, group: list[str], bucket: Column, order: list[Col
 
 
 def buckets(rows: int) -> int:
-    """How many hash buckets keep a bucket of `rows` rows near 20,000."""
-    return max(512, min(1 << 14, rows // 20_000))
+    """How many hash buckets keep a bucket of `rows` rows near 20,000, at any size."""
+    return max(512, rows // 20_000)
 
 
 def join_salted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
