@@ -262,7 +262,8 @@ def merged_repeats(runs: list[Iterator[Item]], length: int) -> Iterator[tuple[by
 
 def _described(docs: DataFrame, rule: RepeatRule) -> DataFrame:
     kind = dict(docs.dtypes)["id"]
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("more", pa.int32()), ("whole", pa.int64()), ("core", pa.int64()), ("sample", pa.binary())]))
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("more", pa.int32()), ("whole", pa.int64()), ("core", pa.int64())]))
+    sample_type = pa.list_(pa.struct([("whole", pa.int64()), ("start", pa.binary())]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -274,19 +275,19 @@ def _described(docs: DataFrame, rule: RepeatRule) -> DataFrame:
                 text, start, more, whole, core = window_runs(chunk.data, chunk.offsets, rule)
                 at = start + chunk.offsets[text] if len(text) else start
                 drawn = np.flatnonzero((whole.view(np.uint64) >> np.uint64(20)) % np.uint64(rule.sample_every) == 0)  # for the splitters
-                samples: list[bytes | None] = [None] * len(start)
+                samples: list[list[dict]] = [[] for _ in range(chunk.n)]
                 for i in drawn.tolist():
-                    samples[i] = chunk.data[at[i] : at[i] + rule.length].tobytes()
+                    samples[text[i]].append({"whole": int(whole[i]), "start": chunk.data[at[i] : at[i] + rule.length].tobytes()})
                 counts = np.bincount(text, minlength=chunk.n) if len(text) else np.zeros(chunk.n, np.int64)
                 fresh = np.array([not (x in seen or seen.add(x)) for x in names], bool)
                 kept = fresh[text] if len(text) else np.zeros(0, bool)
                 offsets = np.concatenate([[0], np.cumsum(np.where(fresh, counts, 0))])
-                fields = [pa.array(start[kept].astype(np.int32)), pa.array(more[kept].astype(np.int32)), pa.array(whole[kept]), pa.array(core[kept]), pa.array([samples[i] for i in np.flatnonzero(kept).tolist()], pa.binary())]
+                fields = [pa.array(start[kept].astype(np.int32)), pa.array(more[kept].astype(np.int32)), pa.array(whole[kept]), pa.array(core[kept])]
                 runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(run_type.value_type)))
                 digests = [hashlib.sha256(chunk.text(i)).hexdigest() for i in range(chunk.n)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(np.diff(chunk.offsets)), pa.array(digests), runs], names=["id", "name", "n_bytes", "sha256", "runs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(np.diff(chunk.offsets)), pa.array(digests), runs, pa.array(samples, sample_type)], names=["id", "name", "n_bytes", "sha256", "runs", "samples"])
 
-    return docs.mapInArrow(run, f"id {kind}, name binary, n_bytes long, sha256 string, runs array<struct<start:int,more:int,whole:long,core:long,sample:binary>>")
+    return docs.mapInArrow(run, f"id {kind}, name binary, n_bytes long, sha256 string, runs array<struct<start:int,more:int,whole:long,core:long>>, samples array<struct<whole:long,start:binary>>")
 
 
 def _needed_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -544,18 +545,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = join_salted(wholes, mixed, "core", "n_wholes", n_wholes, F.xxhash64("whole"), "left").where("twice OR n_wholes IS NOT NULL").select("whole", "rows", "low", "twice", F.col("n_wholes").isNotNull().alias("mixed"))
     known = written(known, "known")
     marked = join_salted(runs.drop("core"), known, "whole", "rows", n_runs, F.xxhash64("name", "start"))
-    marked = marked.select("name", "start", "more", F.col("twice").alias("sort"), (F.col("mixed") & (~F.col("twice") | (F.struct("name", "start") == F.col("low")))).alias("windows"), F.when(F.col("twice"), F.col("sample")).alias("sample"))
-    marks = written(marked.where("sort OR windows").groupBy("name", "start").agg(F.first("more").alias("more"), F.max("sort").alias("sort"), F.max("windows").alias("windows"), F.max("sample").alias("sample")), "marks")
+    marked = marked.select("name", "start", "more", F.col("twice").alias("sort"), (F.col("mixed") & (~F.col("twice") | (F.struct("name", "start") == F.col("low")))).alias("windows"))
+    marks = written(marked.where("sort OR windows").groupBy("name", "start").agg(F.first("more").alias("more"), F.max("sort").alias("sort"), F.max("windows").alias("windows")), "marks")
     weight = marks.agg(F.sum(F.when(F.col("sort"), F.col("more") + rule.length).otherwise(0) + F.when(F.col("windows"), 30 * (F.col("more") + 1)).otherwise(0))).first()[0] or 0
     parts = max(8, -(-weight // rule.part_bytes))
-    cuts = splitters(marks.where("sample IS NOT NULL").select("sample"), parts)
+    drawn = rows.select(F.inline("samples")).groupBy("whole").agg(F.first("start").alias("start"))
+    cuts = splitters(written(drawn.join(known.where("twice"), "whole", "left_semi").select("start"), "samples"), parts)
     by_text = marks.groupBy("name").agg(F.collect_list(F.struct("start", "more", "sort", "windows")).alias("marks"))
     names = marks.select("name").distinct()
     texts = written(_needed_texts(docs, names).join(by_text, "name"), "texts")
     found = _received(_sent(texts, cuts, parts, rule), parts, rule)
     by_name = written(found.groupBy("name").agg(F.collect_list(F.struct("start", "end")).alias("found")), "found")
     cut = written(_cut(texts.join(by_name, "name")), "cut")
-    counts = join_salted(rows.drop("runs"), copies, "name", "copies", total, F.xxhash64("id"))
+    counts = join_salted(rows.drop("runs", "samples"), copies, "name", "copies", total, F.xxhash64("id"))
     out = counts.join(cut.withColumn("copies", F.lit(1).cast("long")), ["name", "copies"], "left")  # a text with copies goes whole and needs no lookup
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= rule.length)
     found = out.select(
