@@ -8,10 +8,12 @@ segments at or above the threshold are retrieved, and each item is verified by t
 answer's runs of `shingle` words found around the passage.
 
 The index is built from the items alone. It goes to executors in parts of at most `segments_per_pass` segments, one
-pass over the documents for each part, so that what is broadcast is bounded whatever the benchmark's size.
+pass over the documents for each part. A part has an entry for each posting and block of a term, so that what is
+broadcast is a few MB whatever the benchmark's size.
 
 Defined results: a null or empty text matches nothing; an item without words is never found; an item of fewer words
-than a shingle is compared as one run; a null or repeated id is an ordinary row. Other columns pass through.
+than a shingle is compared as one run; a null or repeated id, of a document or an item, is an ordinary row, and ids
+keep their type; an empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from veilspark.llm.runtime import batches
+from veilspark.llm.runtime import batches, fresh_name, named
 from veilspark.llm.textbytes import PLAIN, Chunk, mix
 
-MATCH = "struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double,first_word:bigint>"
+#: Of a verified item, besides its id.
+MATCH = ("score double", "question_overlap double", "answer_overlap double", "overlap double", "first_word bigint")
 
 
 @dataclass(frozen=True)
@@ -108,9 +112,15 @@ class Index:
         self.weights = (np.concatenate(weights) if terms else np.zeros(0))[order]
         self.first = np.searchsorted(code[order], np.arange(len(self.terms) + 1))
         self.n_segments, n_blocks = len(segments), -(-len(segments) // rule.block)
-        self.block_max = np.zeros((len(self.terms), n_blocks), np.float32)
-        np.maximum.at(self.block_max, (code[order], self.segment_of // rule.block), (self.weights * (1 + 1e-6)).astype(np.float32))
-        self.term_max = self.block_max.max(axis=1) if n_blocks else np.zeros(0, np.float32)
+        # a term's postings stand in order of segments: one maximum for each of its blocks, and no more entries than postings
+        block_of = self.segment_of // rule.block
+        new = np.ones(len(block_of), bool)
+        new[1:] = (code[order][1:] != code[order][:-1]) | (block_of[1:] != block_of[:-1])
+        cuts = np.flatnonzero(new)
+        self.n_blocks, self.block_of = n_blocks, block_of[cuts].astype(np.int32)
+        self.block_max = np.maximum.reduceat(self.weights, cuts) * (1 + 1e-9) if len(cuts) else np.zeros(0)
+        self.block_first = np.searchsorted(code[order][cuts], np.arange(len(self.terms) + 1))
+        self.term_max = np.maximum.reduceat(self.block_max, self.block_first[:-1]) if len(cuts) else np.zeros(0)
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -146,25 +156,39 @@ class Index:
         span = np.searchsorted(half, np.arange(n_halves + 1))
         need = np.unique(np.concatenate([live, np.minimum(live + 1, n_halves - 1)]))
         need = need[span[need + 1] > span[need]]
-        rows = np.concatenate([np.arange(span[h], span[h + 1]) for h in need]) if len(need) else np.zeros(0, np.int64)
-        by_block = np.zeros((n_halves + 1, self.block_max.shape[1]), np.float32)
-        cuts = np.concatenate([[0], np.cumsum(span[need + 1] - span[need])[:-1]])
-        by_block[need] = np.add.reduceat(self.block_max[code[rows]], cuts, axis=0)
-        sums = by_block[live] + np.where(last[live], 0, 1)[:, None].astype(np.float32) * by_block[live + 1]
-        alive = sums >= theta
         text_of = np.searchsorted(half_first, live, "right") - 1
-        for p in np.flatnonzero(alive.any(axis=1)):
+        for p, alive in self._blocks(live, last, need, span, code):
             h = live[p]
             own_code = code[span[h] : span[h + (1 if last[h] else 2)]]
             own_code = np.unique(own_code)
             lengths = self.first[own_code + 1] - self.first[own_code]
             take = np.repeat(self.first[own_code] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             segment = self.segment_of[take]
-            wanted = alive[p][segment // self.rule.block]
+            wanted = alive[segment // self.rule.block]
             scores = np.bincount(segment[wanted], self.weights[take][wanted], self.n_segments)
             for s in np.flatnonzero(scores >= theta - 1e-9):
                 yield int(text_of[p]), int((h - half_first[text_of[p]]) * size), int(s), float(scores[s])
 
+    def _blocks(self, live: np.ndarray, last: np.ndarray, need: np.ndarray, span: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(index in live, mask of blocks) of the passages with a block whose maxima can sum to the threshold. Sums are
+        taken for lots of half passages, so that a lot's sums by block fit in a few MB at any number of blocks."""
+        lot = max(2, (1 << 20) // max(1, self.n_blocks))
+        for lo in range(0, len(live), lot):
+            own = live[lo : lo + lot]
+            halves = need[(need >= own[0]) & (need <= own[-1] + 1)]
+            rows = np.concatenate([np.arange(span[h], span[h + 1]) for h in halves]) if len(halves) else np.zeros(0, np.int64)
+            at = np.repeat(np.arange(len(halves)), span[halves + 1] - span[halves])
+            begin = self.block_first[code[rows]]
+            lengths = self.block_first[code[rows] + 1] - begin
+            entries = np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum()) if len(rows) else np.zeros(0, np.int64)
+            sums = np.bincount(np.repeat(at, lengths) * self.n_blocks + self.block_of[entries], self.block_max[entries], (len(halves) + 1) * self.n_blocks).reshape(-1, self.n_blocks)
+            place = np.full(int(own[-1]) + 2 - int(own[0]), len(halves))  # halves without any term have sums of 0
+            place[halves - own[0]] = np.arange(len(halves))
+            both = sums[place[own - own[0]]] + np.where(last[own], 0, 1)[:, None] * sums[place[own + 1 - own[0]]]
+            alive = both >= self.rule.threshold
+            for p in np.flatnonzero(alive.any(axis=1)):
+                yield lo + int(p), alive[p]
+
     def matches(self, chunk: Chunk) -> list[list[dict]]:
         """Verified items of each text, the best passage of each."""
         found: list[dict[int, dict]] = [{} for _ in range(chunk.n)]
@@ -183,13 +207,13 @@ class Index:
                 old = found[text].get(i)
                 if old is None or (total, score) > (old["overlap"], old["score"]):
                     found[text][i] = {"item_id": item_id, "score": score, "question_overlap": q, "answer_overlap": a, "overlap": total, "first_word": word}
-        return [sorted(f.values(), key=lambda m: m["item_id"]) for f in found]
+        return [[f[i] for i in sorted(f)] for f in found]  # in order of the items
 
 
 def build_indexes(items: DataFrame, rule: Retrieval, item_col: str, text_col: str, answer_col: str | None) -> Iterator[Index]:
     """Indexes of bounded parts of the items, in order of id, with document frequencies over all items."""
-    cols = [F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("q")] + ([F.coalesce(F.col(answer_col), F.lit("")).alias("a")] if answer_col else [])
-    ordered = items.select(*cols).where("id IS NOT NULL").orderBy("id", "q")
+    cols = [F.col(item_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("q")] + ([F.coalesce(F.col(answer_col), F.lit("")).alias("a")] if answer_col else [])
+    ordered = items.select(*cols).orderBy("id", "q", *(["a"] if answer_col else []))
     df: dict[int, int] = {}
     n_items = n_words = 0
     for r in ordered.toLocalIterator():
@@ -211,21 +235,24 @@ def build_indexes(items: DataFrame, rule: Retrieval, item_col: str, text_col: st
 
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str = "matches", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rule: Retrieval = Retrieval()) -> DataFrame:
     """docs with `out`, an array of the test items found in each text, after as many passes as the index has parts."""
-    for k, index in enumerate(build_indexes(items, rule, item_col, item_text_col, answer_col)):
+    id_type = dict(items.dtypes)[item_col]
+    match = f"array<struct<item_id:{id_type}," + ",".join(m.replace(" ", ":") for m in MATCH) + ">>"
+    names: list[str] = []
+    for index in build_indexes(items, rule, item_col, item_text_col, answer_col):
         held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
-        docs = docs.mapInArrow(_pass(held, text_col, f"{out}{k}"), _schema(docs, f"{out}{k}"))
-        parts = k + 1
-    columns = [f"{out}{k}" for k in range(parts)]
-    return docs.withColumn(out, F.array_sort(reduce(F.concat, [F.col(c) for c in columns]))).drop(*columns)
-
+        names.append(fresh_name(docs, "_found"))
+        schema = ", ".join(f"{named(c)} {t}" for c, t in docs.dtypes) + f", `{names[-1]}` {match}"
+        docs = docs.mapInArrow(_pass(held, text_col, names[-1], schema_type(items, item_col)), schema)
+    return docs.withColumn(out, reduce(F.concat, [F.col(c) for c in names])).drop(*(c for c in names if c != out))
 
-def _schema(docs: DataFrame, out: str) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` array<{MATCH}>"
 
+def schema_type(items: DataFrame, item_col: str) -> pa.DataType:
+    """Of the arrays of matches."""
+    kinds = {"double": pa.float64(), "bigint": pa.int64()}
+    return pa.list_(pa.struct([("item_id", to_arrow_type(items.schema[item_col].dataType)), *((n, kinds[t]) for n, t in (m.split() for m in MATCH))]))
 
-def _pass(held, text_col: str, out: str):  # noqa: ANN001, ANN202
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("overlap", pa.float64()), ("first_word", pa.int64())]))
 
+def _pass(held, text_col: str, out: str, kind: pa.DataType):  # noqa: ANN001, ANN202
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pickle.loads(held.value)
         for batch in frames:
@@ -244,7 +271,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:  # noqa: ANN003
     """docs without those that hold a test item; all columns stay."""
-    out = "_matches"
-    while out in docs.columns:
-        out += "_"
+    out = fresh_name(docs, "_matches")
     return with_matches(docs, items, text_col, out, **kw).where(F.size(out) == 0).drop(out)

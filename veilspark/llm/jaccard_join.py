@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.blooms import bloom_of, may_hold, sum_blobs
 from veilspark.llm.components import Forest, connected_components
-from veilspark.llm.runtime import batches, join_salted, written
+from veilspark.llm.runtime import batches, fresh_name, join_salted, written
 from veilspark.llm.textbytes import LOWER, Chunk, mix, shingles
 
 LEAF = 16
@@ -475,9 +475,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pd.Series([hit(x) for x in part], dtype=bool)
 
     # texts are shuffled only where the filter says that a row may be listed
-    marked = docs.withColumn("_digest", F.xxhash64(docs[text_col])).withColumn("_maybe", listed(F.unhex(F.lpad(F.hex(F.xxhash64(id_col, "_digest")), 16, "0"))))
-    some = marked.where("_maybe")
-    on = lambda names: some[id_col].eqNullSafe(names["_id"]) & (some["_digest"] == names["_other"])
+    digest, maybe = fresh_name(docs, "_digest"), fresh_name(docs, "_maybe")
+    own_id, names_id, names_digest = fresh_name(docs, "_id"), fresh_name(docs, "_names_id"), fresh_name(docs, "_names_digest")
+    doubtful = doubtful.select(F.col("_id").alias(names_id), F.col("_other").alias(names_digest), "first")
+    marked = docs.withColumn(digest, F.xxhash64(docs[text_col])).withColumn(own_id, docs[id_col]).withColumn(maybe, listed(F.unhex(F.lpad(F.hex(F.xxhash64(id_col, digest)), 16, "0"))))
+    some = marked.where(F.col(maybe))
+    on = lambda names: some[own_id].eqNullSafe(names[names_id]) & (some[digest] == names[names_digest])
     firsts = doubtful.where("first")
-    out = marked.where("NOT _maybe").unionByName(some.join(doubtful, on(doubtful), "left_anti")).unionByName(some.join(firsts, on(firsts), "left_semi").dropDuplicates([id_col, "_digest"]))
-    return out.drop("_digest", "_maybe")
+    out = marked.where(~F.col(maybe)).unionByName(some.join(doubtful, on(doubtful), "left_anti")).unionByName(some.join(firsts, on(firsts), "left_semi").dropDuplicates([own_id, digest]))
+    return out.drop(digest, own_id, maybe)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.runtime import batches
+from veilspark.llm.runtime import batches, fresh_name, named
 from veilspark.llm.textbytes import SPACE, Chunk
 
 STATISTICS = ("log_chars", "log_words", "word_len", "upper", "digit", "symbol", "bar", "shout_mark", "stop_mark", "symbol_words", "distinct_words", "top_word", "repeat_pairs", "line_words", "dup_lines", "wide", "blank")
@@ -83,8 +83,8 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str], out: str =
                 packed = pa.StructArray.from_arrays([pa.array(stats[:, j]) for j in range(stats.shape[1])], names=list(STATISTICS))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), packed], names=[*keep, out])
 
-    schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{out}` struct<{', '.join(f'{s}: double' for s in STATISTICS)}>"]
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, ", ".join(schema))
+    schema = [f"{named(c)} {kinds[c]}" for c in keep] + [f"`{out}` struct<{', '.join(f'{s}: double' for s in STATISTICS)}>"]
+    return docs.select(*[named(c) for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, ", ".join(schema))
 
 
 Condition = tuple[str, bool, float]  # statistic, whether it has to be over the value, value
@@ -183,8 +183,9 @@ def lasso_logistic(x: np.ndarray, good: np.ndarray, penalty: float, steps: int =
     return float(w[m]), w[:m]
 
 
-def fit_rules(stats: np.ndarray, good: np.ndarray, trees: int = 40, depth: int = 3, bins: int = 32, penalty: float = 1e-3, max_rules: int = 400, seed: int = 7) -> RuleModel:
-    """The model for a sample in memory. max_rules bounds the rules offered to the lasso, most frequent supports first."""
+def fit_rules(stats: np.ndarray, good: np.ndarray, trees: int = 40, depth: int = 3, bins: int = 32, penalty: float = 1e-3, seed: int = 7) -> RuleModel:
+    """The model for a sample in memory. All paths go to the lasso, one of those that hold for the same rows:
+    trees * (2 ** (depth + 1) - 2) at most."""
     good = good.astype(np.float64)
     if not len(good) or good.min() == good.max():
         mean = float(good.mean()) if len(good) else 0.5
@@ -198,7 +199,7 @@ def fit_rules(stats: np.ndarray, good: np.ndarray, trees: int = 40, depth: int =
         on = _holds(stats, path)
         if 0 < on.sum() < len(on):
             held.setdefault(np.packbits(on).tobytes(), (path, on))
-    kept = list(held.values())[:max_rules]
+    kept = list(held.values())
     if not kept:
         return RuleModel(float(np.log(good.mean() / (1 - good.mean()))))
     bias, weights = lasso_logistic(np.column_stack([on for _, on in kept]).astype(np.float32), good, penalty)
@@ -233,7 +234,5 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with a score from the threshold on; all columns stay."""
-    out = "_statistics"
-    while out in docs.columns:
-        out += "_"
+    out = fresh_name(docs, "_statistics")
     return with_statistics(docs, text_col, docs.columns, out).where(model.column(out) >= threshold).drop(out)

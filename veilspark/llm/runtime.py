@@ -67,6 +67,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> str:
+    """A column's name as an identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A name like `base` that df does not use, in any case."""
+    used = {c.lower() for c in df.columns}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def batches(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about `limit` bytes together; a longer text stands alone."""
     import numpy as np

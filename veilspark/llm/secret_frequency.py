@@ -6,8 +6,9 @@ repositories and owners, and a value seen under many owners, or in many reposito
 while one that stays with few is owner-specific. The same verdict marks the values of base spans.
 
 Defined results: a null text counts as empty; a null owner is an owner of its own; a null or repeated id is an
-ordinary row, and one repository with the rows of the same id. Other columns are not read. Offsets are code
-points, ends exclusive.
+ordinary row, and one repository with the rows of the same id (the table names no other). Equal values in one
+document are spans of their own. Other columns are not read. Offsets are code points, ends exclusive. An empty table
+gives empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.runtime import batches, written
+from veilspark.llm.runtime import batches, join_salted, written
 
 #: Fixed values of the contract: kinds in order, with the least length.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,12 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 BASE_KINDS = ("assign", "access", "hex")
 #: Cheap conditions without which a kind has no span (linear-time engine, over whole columns).
-SCREENS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "wide": r"[A-Za-z0-9_-]{20}"}
+SCREENS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "wide": r"[A-Za-z0-9_-]{15}"}
 
 #: Wider kinds of this operator: form of a provider's token, then any opaque string.
 WIDE = (
     ("provider", re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)")),
-    ("opaque", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")),
+    ("opaque", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])")),
 )
 KINDS = BASE_KINDS + tuple(k for k, _ in WIDE)
 #: Bits for each character that an opaque string has at least.
@@ -123,11 +124,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> D
 
 
 def ownership(found: DataFrame, rule: Ownership) -> DataFrame:
-    """One row for each value: owners, repositories, live. Distinct counts without meeting at one key: first over
-    (value, owner, repository), then partial sums."""
-    seen = found.select(F.explode("found").alias("s"), "owner", "id").select(F.col("s.value_hash").alias("value_hash"), "owner", "id").distinct()
-    by_owner = seen.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
-    counted = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    """One row for each value: owners, repositories, spans (how often it stands anywhere), live. Distinct counts without
+    meeting at one key: first over (value, owner, repository), then partial sums."""
+    seen = found.select(F.explode("found").alias("s"), "owner", "id").groupBy(F.col("s.value_hash").alias("value_hash"), "owner", "id").agg(F.count("*").alias("spans"))
+    by_owner = seen.groupBy("value_hash", "owner").agg(F.count("*").alias("n"), F.sum("spans").alias("spans"))
+    counted = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.sum("spans").alias("spans"))
     return counted.withColumn("live", (F.col("owners") <= rule.most_owners) & (F.col("repositories") <= rule.most_repositories))
 
 
@@ -136,9 +137,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text), and the ownership of each value."""
     rows = written(candidates(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     owned = written(ownership(rows, rule), "ownership")
-    spans = rows.select("row", F.explode("found").alias("s")).select("row", "s.*").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int"))
-    verdicts = owned.select("value_hash", "live", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))  # a value that many documents share is spread over 16 tasks
-    judged = spans.join(verdicts, ["value_hash", "salt"]).where(F.col("live") | (F.col("kind") < len(BASE_KINDS)))
+    spans = rows.select("row", F.explode("found").alias("s")).select("row", "s.*")
+    total = owned.agg(F.sum("spans")).first()[0] or 0
+    judged = join_salted(spans, owned.select("value_hash", "live", F.col("spans").alias("times")), "value_hash", "times", total, F.xxhash64("row", "start")).where(F.col("live") | (F.col("kind") < len(BASE_KINDS)))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("verdicts"))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform("verdicts", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

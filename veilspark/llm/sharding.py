@@ -19,9 +19,9 @@ from veilspark.llm.runtime import buckets, join_salted, running_sum, written
 
 
 def equal_text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Narrow rows: row (unique), id, size, text_crc32, and group, the digest of the text."""
+    """Narrow rows: row (unique), spot (a hash of id and text), id, size, text_crc32, and group, the digest of the text."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(docs[id_col], text).alias("spot"), docs[id_col].alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group"))
 
 
 def admitted(wishes: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -99,8 +99,11 @@ def propagate(cells: DataFrame, shards: int, capacity: int) -> DataFrame:
 
 
 def balanced_shards(rows: DataFrame, shards: int = 16) -> DataFrame:
-    """rows: row (unique and stable), group, and columns to keep. Adds shard (counts at most one apart) and slot
-    (gapless from 0 in each shard)."""
+    """rows: row (unique), spot (a stable hash by which rows are placed; that of row where missing), group, and columns to keep. Adds shard (counts
+    at most one apart) and slot (gapless from 0 in each shard). Rows of equal spots are interchangeable, so that the
+    layout of the table has no effect."""
+    if "spot" not in rows.columns:
+        rows = rows.withColumn("spot", F.xxhash64("row"))
     total = rows.count()
     base, extra = divmod(total, shards)
     quota = [base + (s < extra) for s in range(shards)]
@@ -109,7 +112,8 @@ def balanced_shards(rows: DataFrame, shards: int = 16) -> DataFrame:
     linked = written(join_salted(rows, groups, "group", "n_rows", total, salt, "left"), "linked")
     members = linked.where("n_rows IS NOT NULL")
     n = buckets(total)
-    start = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(shards)).cast("int")
+    spot = F.xxhash64("spot", F.lit(3))
+    start = F.pmod(F.xxhash64("spot", F.lit(5)), F.lit(shards)).cast("int")
     first = members.select("group", start.alias("shard")).groupBy("group", "shard").agg(F.count("*").alias("n"))
     # a start by hash may exceed the capacity by chance: what is over is left to fill up like unlinked rows
     cells = propagate(written(first, "cells"), shards, base)
@@ -118,15 +122,15 @@ def balanced_shards(rows: DataFrame, shards: int = 16) -> DataFrame:
     ends = F.aggregate("cells", F.expr("CAST(array() AS array<struct<shard:int, end:bigint>>)"), lambda a, c: F.concat(a, F.array(F.struct(c["shard"].alias("shard"), (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + c["n"]).alias("end")))))
     laid = laid.select("group", ends.alias("ends")).join(groups, "group")
     # a hot group's rows are ranked over buckets as well
-    ranked = running_sum(members.drop("n_rows"), ["group"], F.pmod(salt, F.lit(n)), [F.col("row")], F.lit(1), "rank")
+    ranked = running_sum(members.drop("n_rows"), ["group"], F.pmod(spot, F.lit(n)), [F.col("spot"), F.col("row")], F.lit(1), "rank")
     placed = join_salted(ranked, laid, "group", "n_rows", total, salt, "left").withColumn("shard", F.expr("try_element_at(filter(ends, e -> rank < e.end), 1).shard")).drop("ends", "rank", "n_rows")
     placed = written(placed.unionByName(linked.where("n_rows IS NULL").drop("n_rows").withColumn("shard", F.lit(None).cast("int"))), "placed")
     load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     # rows of a group that are left (those by which a start exceeded the capacity) stand in a row
-    rest = running_sum(placed.where("shard IS NULL"), [], F.pmod(F.xxhash64("group"), F.lit(n)), [F.col("group"), F.col("row")], F.lit(1), "rank")
+    rest = running_sum(placed.where("shard IS NULL"), [], F.pmod(F.xxhash64("group"), F.lit(n)), [F.col("group"), F.col("spot"), F.col("row")], F.lit(1), "rank")
     end, fill = 0, F.lit(None).cast("int")
     for s in range(shards):
         end += quota[s] - load.get(s, 0)
         fill = F.coalesce(fill, F.when(F.col("rank") < end, s))
     whole = placed.where("shard IS NOT NULL").unionByName(rest.withColumn("shard", fill).drop("rank"))
-    return running_sum(whole, ["shard"], F.pmod(salt, F.lit(n)), [F.col("row")], F.lit(1), "slot")
+    return running_sum(whole, ["shard"], F.pmod(spot, F.lit(n)), [F.col("spot"), F.col("row")], F.lit(1), "slot").drop("spot")
