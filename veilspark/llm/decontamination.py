@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veilspark.llm.runtime import batches, fresh_name, named
+from veilspark.llm.runtime import batches, fresh_name
 from veilspark.llm.textbytes import PLAIN, Chunk, mix
 
 #: Of a verified item, besides its id.
@@ -237,13 +237,17 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", out:
     """docs with `out`, an array of the test items found in each text, after as many passes as the index has parts."""
     id_type = dict(items.dtypes)[item_col]
     match = f"array<struct<item_id:{id_type}," + ",".join(m.replace(" ", ":") for m in MATCH) + ">>"
-    names: list[str] = []
+    columns = docs.columns
+    text = f"c{columns.index(text_col)}"
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # columns may have any names
+    parts = 0
     for index in build_indexes(items, rule, item_col, item_text_col, answer_col):
         held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
-        names.append(fresh_name(docs, "_found"))
-        schema = ", ".join(f"{named(c)} {t}" for c, t in docs.dtypes) + f", `{names[-1]}` {match}"
-        docs = docs.mapInArrow(_pass(held, text_col, names[-1], schema_type(items, item_col)), schema)
-    return docs.withColumn(out, reduce(F.concat, [F.col(c) for c in names])).drop(*(c for c in names if c != out))
+        schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + f", found{parts} {match}"
+        docs = docs.mapInArrow(_pass(held, text, f"found{parts}", schema_type(items, item_col)), schema)
+        parts += 1
+    found = reduce(F.concat, [F.col(f"found{k}") for k in range(parts)])
+    return docs.select(*(f"c{i}" for i in range(len(columns))), found).toDF(*columns, out)
 
 
 def schema_type(items: DataFrame, item_col: str) -> pa.DataType:

@@ -478,7 +478,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest, maybe = fresh_name(docs, "_digest"), fresh_name(docs, "_maybe")
     own_id, names_id, names_digest = fresh_name(docs, "_id"), fresh_name(docs, "_names_id"), fresh_name(docs, "_names_digest")
     doubtful = doubtful.select(F.col("_id").alias(names_id), F.col("_other").alias(names_digest), "first")
-    marked = docs.withColumn(digest, F.xxhash64(docs[text_col])).withColumn(own_id, docs[id_col]).withColumn(maybe, listed(F.unhex(F.lpad(F.hex(F.xxhash64(id_col, digest)), 16, "0"))))
+    marked = docs.withColumns({digest: F.xxhash64(docs[text_col]), own_id: docs[id_col]}).withColumn(maybe, listed(F.unhex(F.lpad(F.hex(F.xxhash64(id_col, digest)), 16, "0"))))
     some = marked.where(F.col(maybe))
     on = lambda names: some[own_id].eqNullSafe(names[names_id]) & (some[digest] == names[names_digest])
     firsts = doubtful.where("first")

@@ -1,14 +1,17 @@
 """Operator 10: mixing sources to target weights by Sainte-Lague apportionment.
 
 The mix has as many words as the corpus. They go one by one to the source with the highest quotient
-target / (2 * words + 1); consecutive awards fill the shards, so that every shard has integer quotas. A source's
-documents are laid end to end in a seeded order; quotas beyond the source's size repeat it whole, and the rest is met
-by a seeded, evenly spread choice of its blocks, the last of which is cut at the word that meets the quota. A source
-smaller than a block is one block, so that a quota is met to the word at every size of the corpus.
+target / (2 * words + 1); consecutive awards fill the shards, so that every shard has integer quotas by source, which
+add up to what a source gives. A source's documents are laid end to end in a seeded order; quotas beyond the source's
+size repeat it whole, and the rest is met by a seeded, evenly spread choice of its blocks, the last of which is cut at
+the word that meets the quota. What is taken, in that order, fills the shards' quotas one after the other, so that
+every taken word has a shard. A source smaller than a block is one block, so that quotas are met to the word at every
+size of the corpus.
 
 Defined results: a null source is a source of its own, after all others; a null or empty text has size 0 and is
 taken 0 times; an empty table gives an empty result. Rows that are equal in id and text are interchangeable.
-Other columns, null or clashing in name, are not read.
+Other columns, null or clashing in name, are not read. The driver holds one row for each source; up to 100,000 of them
+are broadcast, more are joined.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.runtime import batches, buckets, running_sum, written
+from veilspark.llm.runtime import batches, buckets, fresh_name, running_sum, written
 from veilspark.llm.textbytes import Chunk
 
 
@@ -148,11 +151,14 @@ def source_key(source: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
-    """One row for each document (id_col, text_hash, source, size, source_size, target, taken), and the quotas: one
-    row for each shard and source, in units of block_words (1) words."""
+    """One row for each document (id_col, text_hash, source, size, source_size, target, taken, and by_shard, the words
+    taken for each shard that takes any), and the quotas in words: one row for each shard and source."""
     spark = docs.sparkSession
     placed, laid, quotas, block = _laid(docs, id_col, text_col, source_col, plan)
-    by_source = spark.createDataFrame([(k, *rest) for k, _, *rest in laid], "key string, source_size long, target double, whole long, n_blocks long, picked long, offset long, rest long, cut long")
+    ends = np.cumsum(np.array(quotas, np.int64).reshape(plan.shards, -1), axis=0)
+    by_source = spark.createDataFrame([(k, name, *rest, [0, *ends[:, i].tolist()]) for i, (k, name, *rest) in enumerate(laid)], "key string, name string, source_size long, target double, whole long, n_blocks long, picked long, offset long, rest long, cut long, ends array<long>")
+    shares = by_source.select(F.col("name").alias("source"), F.posexplode(F.expr("transform(sequence(1, size(ends) - 1), s -> ends[s] - ends[s - 1])")).alias("shard", "quota")).select("shard", "source", "quota")
+    by_source = by_source.drop("name")
     if len(laid) <= 100_000:
         by_source = F.broadcast(by_source)
     placed = placed.join(by_source, "key")
@@ -163,9 +169,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         following = f"((({full} + 1) * picked + offset) div n_blocks)"
         return F.expr(f"LEAST(rest, {count} * {block} + IF({following} > {count}, ({at}) % {block}, 0))")
 
-    taken = (F.col("whole") * F.col("size") + picked_before("before + size") - picked_before("before")).cast("long")
-    per_doc = placed.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", taken.alias("taken"))
-    shares = spark.createDataFrame([(s, name, q[i], 1) for s, q in enumerate(quotas) for i, (_, name, *_) in enumerate(laid)], "shard int, source string, quota long, block_words long")
+    # a document's words stand once in each whole repetition of its source, and as far as its blocks are picked in the rest
+    spans = F.expr("transform(sequence(0, whole), c -> struct(c * source_size + before AS lo, c * source_size + before + size AS hi))")
+    spans = F.concat(F.slice(spans, F.lit(1), F.col("whole").cast("int")), F.array(F.struct((F.col("whole") * F.col("source_size") + picked_before("before")).alias("lo"), (F.col("whole") * F.col("source_size") + picked_before("before + size")).alias("hi"))))
+    dealt = "transform(sequence(1, size(ends) - 1), s -> struct(s - 1 AS shard, aggregate(spans, 0L, (n, x) -> n + greatest(0L, least(x.hi, ends[s]) - greatest(x.lo, ends[s - 1]))) AS words))"
+    placed = placed.withColumn("spans", spans).withColumn("by_shard", F.expr(f"filter({dealt}, d -> d.words > 0)"))
+    taken = F.expr("aggregate(spans, 0L, (n, x) -> n + x.hi - x.lo)")
+    per_doc = placed.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", taken.alias("taken"), "by_shard")
     return per_doc, shares
 
 
@@ -198,6 +208,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series(np.where(words.to_numpy(), out, 0))
 
     worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    numbered = docs.withColumn("_key", source_key(docs[source_col].cast("string"))).withColumn("_hash", F.xxhash64(docs[text_col]))
-    counted = numbered.withColumn("_copies", copies(F.col("_key"), order_of(id_col, "_hash", plan.seed), worded))
-    return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_hash", "_copies", "_copy")
+    key, digest, n, copy = (fresh_name(docs, c) for c in ("_key", "_hash", "_copies", "_copy"))
+    marked = docs.withColumn(key, source_key(docs[source_col].cast("string"))).withColumn(digest, F.xxhash64(docs[text_col]))
+    counted = marked.withColumn(n, copies(F.col(key), order_of(id_col, digest, plan.seed), worded))
+    return counted.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, digest, n, copy)

@@ -73,18 +73,18 @@ def statistics(chunk: Chunk) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str], out: str = "statistics") -> DataFrame:
     """The columns `keep` and `out`, a struct of the statistics of each row's whole text."""
-    kinds = dict(docs.dtypes)
+    chosen = docs.select(*[docs[named(c)] for c in keep], docs[named(text_col)]).toDF(*(f"c{i}" for i in range(len(keep))), "text")  # columns may have any names
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for lo, hi in batches(batch, text_col):
+            for lo, hi in batches(batch, "text"):
                 part = batch.slice(lo, hi - lo)
-                stats = statistics(Chunk(part.column(text_col)))
+                stats = statistics(Chunk(part.column("text")))
                 packed = pa.StructArray.from_arrays([pa.array(stats[:, j]) for j in range(stats.shape[1])], names=list(STATISTICS))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), packed], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], names=[*part.schema.names[:-1], "packed"])
 
-    schema = [f"{named(c)} {kinds[c]}" for c in keep] + [f"`{out}` struct<{', '.join(f'{s}: double' for s in STATISTICS)}>"]
-    return docs.select(*[named(c) for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, ", ".join(schema))
+    schema = [f"{c} {t}" for c, t in chosen.dtypes[:-1]] + [f"packed struct<{', '.join(f'{s}: double' for s in STATISTICS)}>"]
+    return chosen.mapInArrow(run, ", ".join(schema)).toDF(*keep, out)
 
 
 Condition = tuple[str, bool, float]  # statistic, whether it has to be over the value, value

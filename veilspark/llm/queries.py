@@ -82,7 +82,8 @@ def op9_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix_sources(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+    by_shard = F.array_join(F.transform("by_shard", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string"))), ",")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", by_shard.alias("by_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
