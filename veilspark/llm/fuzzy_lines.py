@@ -76,7 +76,12 @@ def char_shingles(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
 
 def line_sets(lines: list[bytes], q: int) -> list[np.ndarray]:
     hashes, offsets = char_shingles([x.decode() for x in lines], q)
-    return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = np.sort(hashes[a:b])
+        new = own[1:] != own[:-1]
+        out.append(own if new.all() else own[np.concatenate([[True], new])])
+    return out
 
 
 def band_hashes(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -174,7 +179,7 @@ def _edges(stars: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
-    """(name, members, comp, n) of the lines whose key is in comps, each once: the line itself, and how many shingles it has."""
+    """(name, members, comp) of the lines whose key is in comps, each once; members is the line itself."""
     held = bloom_of(comps.select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("key")), "key")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +197,10 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
                                 names.append(name)
                                 lines.append(line.encode())
                 if lines:
-                    sizes = [len(x) for x in line_sets(lines, rule.q)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "name", "members", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["key", "name", "members"])
 
-    sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary, n long")
-    return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+    sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
+    return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
 
 
 def line_classes(docs: DataFrame, described: DataFrame, rule: LineRule) -> DataFrame | None:

@@ -337,7 +337,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["key", "name", "members"])
 
     sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
-    return sets.join(wanted, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp")).withColumn("n", (F.octet_length("members") / 8).cast("long"))
+    return sets.join(wanted, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
 
 
 def whole_sets(members: list[bytes]) -> list[np.ndarray]:
@@ -372,35 +372,49 @@ def _classes(rows: DataFrame, keys: list[str], percent: int, unpack: Callable[[l
     return rows.select("name", "class", "members", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{types}, name binary, class binary")
 
 
+def _banded(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """sets: name, members, comp, lone. Adds band: sets of bands that are not equal or neighbours can't be linked."""
+    width = -float(np.log(rule.percent / 100)) * 1.000001  # above the largest distance of linked sets' logarithms
+    fields = [(n, t) for n, t in sets.dtypes if n in ("name", "members", "comp", "lone")]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            band = [int(np.log(len(x)) // width) for x in unpack(batch.column("members").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band, pa.int64())], names=[*batch.schema.names, "band"])
+
+    return sets.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*fields, ("band", "long")]))
+
+
 def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets) -> DataFrame:
-    """(name, label) for the sets (name, members, n, comp) of candidate components: label is the smallest name linked.
+    """(name, label) for the sets (name, members, comp) of candidate components: label is the smallest name linked.
 
     A component of up to `tile_sets` sets is one tile. A larger one is dealt by bands of sizes, of which only equal or
     neighbouring ones can hold links, and a band in tiles of `tile_sets` sets, `tiles` of them at most unless a tile
     would hold more than `tile_limit` sets or `tile_bytes` bytes.
     """
-    width = -float(np.log(rule.percent / 100)) * 1.000001  # above the largest distance of linked sets' logarithms
-    banded = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
     total = sets.count()
-    each = banded.groupBy("comp", "band").agg(F.count("*").alias("rows"), F.sum(F.octet_length("members")).alias("bytes"))
+    size = F.sum(F.octet_length("members")).alias("bytes")
+    comps = sets.groupBy("comp").agg(F.count("*").alias("rows"), size).withColumn("lone", (F.col("rows") <= rule.tile_sets) & (F.col("bytes") <= rule.tile_bytes)).drop("bytes")
+    marked = written(join_salted(sets, written(comps, "comps"), "comp", "rows", total, F.xxhash64("name")).drop("rows"), "marked")
+    lone = marked.where("lone").select("name", "members", "comp", F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("tile"), F.lit(1).cast("long").alias("all_tiles"), "lone")
+    banded = _banded(marked.where("NOT lone"), rule, unpack)
+    each = banded.groupBy("comp", "band").agg(F.count("*").alias("rows"), size)
     count = F.greatest(F.least(F.lit(rule.tiles), F.col("rows") / rule.tile_sets), F.col("rows") / rule.tile_limit, F.col("bytes") / rule.tile_bytes)
     each = written(each.withColumn("tiles", F.ceil(count).cast("long")), "bands")
-    whole = each.groupBy("comp").agg(F.sum("rows").alias("in_comp"), F.sum("bytes").alias("in_bytes"), F.sum("tiles").alias("all_tiles"))
-    lone = (F.col("in_comp") <= rule.tile_sets) & (F.col("in_bytes") <= rule.tile_bytes)
-    cells = each.join(whole, "comp").select(F.xxhash64("comp", "band").alias("cell"), "rows", "tiles", "all_tiles", lone.alias("lone"))
-    cells = cells.groupBy("cell").agg(F.max("rows").alias("rows"), F.max("tiles").alias("tiles"), F.max("all_tiles").alias("all_tiles"), F.bool_and("lone").alias("lone"))
-    tiled = join_salted(banded.withColumn("cell", F.xxhash64("comp", "band")), written(cells, "cells"), "cell", "rows", total, F.xxhash64("name"))
-    tiled = tiled.withColumn("band", F.when(F.col("lone"), F.lit(0)).otherwise(F.col("band")).cast("long")).withColumn("tile", F.when(F.col("lone"), F.lit(0)).otherwise(F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).cast("long"))
-    tiled = written(tiled.select("name", "members", "comp", "band", "tile", "all_tiles", "lone", F.lit(None).cast("binary").alias("class")), "tiled")
+    whole = each.groupBy("comp").agg(F.sum("tiles").alias("all_tiles"))
+    cells = each.join(whole, "comp").groupBy(F.xxhash64("comp", "band").alias("cell")).agg(F.max("rows").alias("rows"), F.max("tiles").alias("tiles"), F.max("all_tiles").alias("all_tiles"))
+    dealt = join_salted(banded.withColumn("cell", F.xxhash64("comp", "band")), written(cells, "cells"), "cell", "rows", total, F.xxhash64("name"))
+    tiled = lone.unionByName(dealt.withColumn("tile", F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).select(lone.columns))
+    tiled = written(tiled.withColumn("class", F.lit(None).cast("binary")), "tiled")
     inside = written(_classes(tiled, ["comp", "band", "tile"], rule.percent, unpack), "inside")
     if tiled.where("NOT lone").isEmpty():
         return inside.select("name", F.col("class").alias("label"))
-    large = tiled.where("NOT lone").drop("class", "lone").join(inside.select("name", "class"), "name")
+    large = written(tiled.where("NOT lone").drop("class", "lone").join(inside.select("name", "class"), "name"), "large")
     heads = large.where("name = class")
     part = F.pmod(F.xxhash64("name", F.lit(8)), F.ceil(F.sqrt("all_tiles")).cast("long"))
     # one head for each class of a tile; they meet by parts, and what parts miss is left to the pairs of tiles
     over = _classes(heads.withColumn("part", part).withColumn("class", F.lit(None).cast("binary")), ["comp", "part"], rule.percent, unpack)
-    edges = written(inside.select(F.col("name").alias("a"), F.col("class").alias("b")).unionByName(over.select(F.col("name").alias("a"), F.col("class").alias("b"))), "links")
+    edges = written(large.select(F.col("name").alias("a"), F.col("class").alias("b")).unionByName(over.select(F.col("name").alias("a"), F.col("class").alias("b"))), "links")
     labels = written(connected_components(edges).select(F.col("node").alias("name"), "label"), "joined")
     known = large.drop("class").join(labels, "name", "left").withColumn("class", F.coalesce("label", "name")).drop("label")
     apart = known.groupBy("comp").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high").select("comp", "rows")
@@ -414,7 +428,7 @@ def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]],
     across = _classes(rest.join(sides, ["comp", "band", "tile"]), ["comp", "pair"], rule.percent, unpack)
     edges = edges.unionByName(across.select(F.col("name").alias("a"), F.col("class").alias("b")))
     final = connected_components(edges).select(F.col("node").alias("name"), "label")
-    return inside.select("name").join(final, "name", "left").select("name", F.coalesce("label", "name").alias("label"))
+    return inside.select("name", "class").join(final, "name", "left").select("name", F.coalesce("label", "class").alias("label"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: JaccardRule = JaccardRule()) -> DataFrame:
