@@ -39,7 +39,7 @@ class LineRule:
     percent: int = 80
     bands: int = 9
     rows: int = 4
-    tile_sets: int = 128
+    tile_sets: int = 64
     tile_bytes: int = 6 << 20
 
 

@@ -47,7 +47,7 @@ class JaccardRule:
     percent: int = 85
     groups: int = 32
     dense: int = 2000
-    tile_sets: int = 128
+    tile_sets: int = 64
     tiles: int = 64
     tile_limit: int = 4000
     tile_bytes: int = 48 << 20
