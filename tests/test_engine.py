@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import plistlib
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,76 @@ def test_sources_and_manifest(spark, tmp_path):
 
 def test_names_of_catalog():
     assert sum(map(len, C.SENSITIVE_COLUMNS.values())) == 153 and len(set().union(*C.SENSITIVE_KEYS.values())) == 126 and len(set().union(*C.PERSONAL_TABLES.values())) == 87
+
+
+def test_every_column_is_looked_into_or_reported(spark):
+    """Binary values in both encodings, nested ones by their leaves, odd names; what isn't read keeps a table from passing."""
+    mail = "a@b.org"
+    rows = [(1, mail.encode(), ("x\u4e2d " + mail).encode("utf-16"), [mail, None], {"k": mail, mail: "v"}, (mail, [(mail,)]), True, mail), (2, b"\xff\xfe\xfd", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, u8 binary, u16 binary, list array<string>, map map<string,string>, nested struct<a:string,b:array<struct<c:string>>>, flag boolean, `a``b.c` string")
+    policy = select(only=["email"])
+    found = Counter(r.path for r in verification.scan_table(df, "t", policy).collect())
+    assert found == {"t.u8": 1, "t.u16": 1, "t.list": 1, "t.map": 2, "t.nested": 2, "t.a`b.c": 1}
+    assert verification.verify_table(df, "t", policy).verdict.first().passed is False
+    clean = tables.sanitize_table(df.drop("list", "map", "nested"), "t", policy)
+    done = {r.id: r for r in clean.rows.collect()}
+    assert bytes(done["1"].u8) == b"[REDACTED_EMAIL]" and bytes(done["1"].u16).decode("utf-16") == "x\u4e2d [REDACTED_EMAIL]" and bytes(done["2"].u8) == b"\xff\xfe\xfd"
+    assert verification.verify_table(clean.rows, "t", policy).verdict.first().passed
+    odd = spark.createDataFrame([([b"x"],)], "raw array<binary>")
+    assert [r.path for r in verification.unscanned_columns(odd, "t").collect()] == ["t.raw"] and not verification.verify_table(odd, "t", policy).verdict.first().passed
+
+
+def test_lines_are_redacted_inside_the_row(spark):
+    """Equal keys stay apart; ends of lines stay; null stays null."""
+    df = spark.createDataFrame([(1, "a@b.org\r\nplain\n"), (1, "x\u2028c@d.org\rpassword: hunter22"), (2, None)], "k long, t string")
+    out = redaction.redact_lines(df, "t", ["k"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.k, r.text, r.lines_redacted, list(r.types)) for r in out.collect()), key=str)
+    assert got == sorted([(1, "[REDACTED_EMAIL]\r\nplain\n", 1, ["email"]), (1, "x\u2028[REDACTED_EMAIL]\r[REDACTED_PASSWORD_KV]", 2, ["email", "password_kv"]), (2, None, 0, [])], key=str)
+
+
+def test_screens_miss_nothing(spark):
+    """With and without the plain strings, every detector finds the same."""
+    from veilspark.functions import columns
+    from veilspark.functions.catalog import DETECTORS, LITERALS
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    plain = [d for d in DETECTORS if d.name in LITERALS]
+    sums = texts.agg(*[F.sum(F.regexp_count("text", F.lit(columns.java(d)))).alias(f"a{i}") for i, d in enumerate(plain)], *[F.sum(detection.count_matches(F.col("text"), d)).alias(f"b{i}") for i, d in enumerate(plain)]).first()
+    assert all(sums[f"a{i}"] == sums[f"b{i}"] for i in range(len(plain))) and sum(sums[f"a{i}"] for i in range(len(plain)))
+
+
+def test_inventory_tells_full_text_tables(spark, tmp_path):
+    at = tmp_path / "f.db"
+    db = sqlite3.connect(at)
+    db.executescript("CREATE TABLE plain(a); INSERT INTO plain(rowid, a) VALUES (7, 'x'); CREATE VIRTUAL TABLE ft USING fts5(body); CREATE VIRTUAL TABLE silent USING fts5(body, content=''); CREATE TABLE ft_other(a)")
+    db.commit()
+    db.close()
+    found = spark.createDataFrame([(str(at), at.read_bytes()), ("bad", b"no database")], "path string, content binary")
+    got = {(r.table_name, r.kind, bool(r.error)) for r in sqlite.sqlite_inventory(found).collect()}
+    assert {("plain", "table", False), ("ft", "full_text", False), ("silent", "full_text", True), ("ft_content", "shadow", False), ("ft_other", "table", False), (None, None, True)} <= got
+    assert [r.row_id for r in sqlite.sqlite_cells(found).where("table_name = 'plain'").collect()] == [7]
+
+
+def test_database_is_handled_and_swept(spark):
+    """A known kind: its tables are emptied, what the handler leaves is swept; an unknown kind is swept alone."""
+    urls = spark.createDataFrame([("https://x.org",)], "url string")
+    other = spark.createDataFrame([("mail a@b.org", "v")], "memo string, email string")
+    known = platforms.sanitize_database({"urls": urls, "visits": urls, "visit_source": urls, "extra": other}, select(only=["email", "identity"]))
+    assert known.db_type == "chrome_history" and known.tables["urls"].rows.isEmpty() and known.tables["urls"].counts.first().events == 1
+    assert known.tables["extra"].rows.first() == ("mail [REDACTED_EMAIL]", "[REDACTED]")
+    assert {r.evidence for r in known.tables["extra"].evidence.collect()} == {"email", "sensitive_column:email"}
+    unknown = platforms.sanitize_database({"urls": urls, "extra": other}, select(only=["email"]))
+    assert unknown.db_type is None and unknown.tables["urls"].rows.count() == 1 and platforms.sanitize_database({}).tables == {}
+
+
+def test_paths_done_inside_and_beside(spark):
+    rows = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    acted = spark.createDataFrame([("plist_sanitize", "a/x.plist", None), ("plist_sanitize", "a/y.plist", "failed"), ("delete", "a/z.plist", None)], "action string, path string, error string")
+    assert sorted(values(paths.not_done(rows("a/x.plist", "a/y.plist", "a/z.plist"), acted, "plist_sanitize"), "path")) == ["a/y.plist", "a/z.plist"]
+    assert sorted(values(paths.outside(rows("a/b/c", "a/bc", "d", "a/b"), rows("a/b/", "e")), "path")) == ["a/b", "a/bc", "d"]
+    got = {(r.action, r.path) for r in paths.companion_actions(rows("x.db", "x.db-wal", "y.db-SHM", "z-wal.txt")).collect()}
+    assert got == {("delete_companion", "x.db-wal"), ("delete_orphan", "y.db-SHM")}
+    errors = spark.createDataFrame([("update", "t", f"c{i:03d}") for i in range(150)], "operation string, table_name string, column_name string")
+    counted, first = manifest.error_evidence(errors)
+    assert counted.first()[0] == 150 and values(first, "column_name") == [f"c{i:03d}" for i in range(100)]

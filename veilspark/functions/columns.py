@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.catalog import DIGIT_FREE, Detector
+from veilspark.functions.catalog import DIGIT_FREE, LITERALS, Detector
 
 #: Line ends of text files.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -34,6 +35,25 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
+def named(column: str) -> str:
+    """A column's name as an identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def may_match(text: Column, d: Detector) -> Column | None:
+    """A test by plain strings without which the detector finds nothing; null where there is none."""
+    if d.keywords:
+        return contains_any(F.lower(text), d.keywords)
+    tests = [F.contains(text, F.lit(x)) for x in LITERALS.get(d.name, ())]
+    return reduce(lambda a, b: a | b, tests) if tests else None
+
+
+def screened(text: Column, d: Detector, value: Column, other: Column) -> Column:
+    """value where the detector may find something in text, else other."""
+    test = may_match(text, d)
+    return value if test is None else F.when(test, value).otherwise(other)
+
+
 def has_digit(text: Column) -> Column:
     return text.rlike(r"(?U)\d")
 
@@ -43,9 +63,9 @@ def matches_of(text: Column, d: Detector) -> Column:
     return F.regexp_extract_all(text, F.lit(java(d)), 0)
 
 
-def by_digit(text: Column, detectors: tuple[Detector, ...], make: Callable[[Detector], Column], empty: Column) -> Column:
-    """array(make(d), ...) for all detectors, sparing text without digits those that need one."""
-    free = [make(d) for d in detectors if d.name in DIGIT_FREE]
-    bound = [make(d) for d in detectors if d.name not in DIGIT_FREE]
-    parts = ([F.array(*free)] if free else []) + ([F.when(has_digit(text), F.array(*bound)).otherwise(empty)] if bound else [])
-    return F.concat(*parts) if parts else empty
+def by_digit(text: Column, detectors: tuple[Detector, ...], make: Callable[[Detector], Column], nothing: Column) -> Column:
+    """array(make(d), ...) for all detectors; nothing for those that need a digit or a string that text lacks."""
+    free = [screened(text, d, make(d), nothing) for d in detectors if d.name in DIGIT_FREE]
+    bound = [screened(text, d, make(d), nothing) for d in detectors if d.name not in DIGIT_FREE]
+    parts = ([F.array(*free)] if free else []) + ([F.when(has_digit(text), F.array(*bound)).otherwise(F.array(nothing))] if bound else [])
+    return F.concat(*parts) if parts else F.array(nothing)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.catalog import Detector
-from veilspark.functions.columns import LINE_ENDS, by_digit, contains_any, java, matches_of
+from veilspark.functions.columns import LINE_ENDS, by_digit, contains_any, java, matches_of, screened
 from veilspark.functions.policy import Policy, select
 from veilspark.functions.suppression import suppressed
 
@@ -27,12 +27,12 @@ def gated_matches(text: Column, d: Detector) -> Column:
         return F.struct(end.alias("at"), F.when(contains_any(near, d.keywords), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("found")))
-    return F.when(text.rlike(java(d)), F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(contains_any(F.lower(text), d.keywords) & text.rlike(java(d)), F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(empty)
 
 
 def count_matches(text: Column, d: Detector) -> Column:
     """The number of matches, before suppression; gated where the detector is."""
-    return F.size(gated_matches(text, d)) if d.keywords else F.regexp_count(text, F.lit(java(d)))
+    return F.size(gated_matches(text, d)) if d.keywords else screened(text, d, F.regexp_count(text, F.lit(java(d))), F.lit(0))
 
 
 def detect(df: DataFrame, text: str, path: Column, policy: Policy | None = None, keep: tuple[str, ...] = (), gated: bool = True) -> DataFrame:
@@ -43,10 +43,9 @@ def detect(df: DataFrame, text: str, path: Column, policy: Policy | None = None,
     policy = policy or select()
     base = df.select(*keep, path.alias("path"), F.col(text).cast("string").alias("_text")).where("_text IS NOT NULL")
     found = F.expr("CAST(array() AS array<struct<pattern_name:string,match_text:string>>)")
-    empty = F.expr("CAST(array() AS array<array<struct<pattern_name:string,match_text:string>>>)")
-    named = lambda d: F.transform(matches_of(F.col("_line"), d), lambda m: F.struct(F.lit(d.name).alias("pattern_name"), m.alias("match_text")))
+    found_by = lambda d: F.transform(matches_of(F.col("_line"), d), lambda m: F.struct(F.lit(d.name).alias("pattern_name"), m.alias("match_text")))
     lines = base.select(*keep, "path", F.posexplode(F.split("_text", LINE_ENDS, -1)).alias("_no", "_line"))
-    all_found = F.flatten(by_digit(F.col("_line"), policy.plain, named, empty)) if policy.plain else found
+    all_found = F.flatten(by_digit(F.col("_line"), policy.plain, found_by, found)) if policy.plain else found
     plain = lines.select(*keep, "path", (F.col("_no") + 1).alias("line_number"), F.explode(all_found).alias("m")).select(*keep, "path", "m.pattern_name", "m.match_text", "line_number")
     out = plain
     if gated and policy.gated:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.columns import named
 
 #: Bytes that one compressed stream, and one archive as a whole, may unfold to.
 STREAM_LIMIT = 64 << 20
@@ -265,9 +266,9 @@ def strip_metadata(df: DataFrame, path: str, content: str, out: str = "stripped"
             rows.append((None, 0, "unreadable") if raw is None else strip_pdf(raw) if name.lower().endswith(".pdf") else strip_office(raw))
         return pd.DataFrame(rows, columns=["content", "fields", "incomplete"])
 
-    known = F.coalesce(F.lower(F.col(f"`{path}`")).rlike(r"\.(pdf|docx|xlsx|pptx|odt|ods|odp)$"), F.lit(False))
-    sent = F.when(known, F.col(f"`{content}`"))  # computed ahead of Python, unlike a condition around the call
-    return df.withColumn(out, F.when(known, run(F.col(f"`{path}`"), sent)))
+    known = F.coalesce(F.lower(F.col(named(path))).rlike(r"\.(pdf|docx|xlsx|pptx|odt|ods|odp)$"), F.lit(False))
+    sent = F.when(known, F.col(named(content)))  # computed ahead of Python, unlike a condition around the call
+    return df.withColumn(out, F.when(known, run(F.col(named(path)), sent)))
 
 
 def unchecked_media(files: DataFrame) -> DataFrame:

@@ -91,3 +91,26 @@ def size_partition(files: DataFrame, limits: dict[str, int] | None = None) -> tu
 def is_database(path: Column, head: Column) -> Column:
     """By suffix, or by the first six bytes."""
     return F.lower(path).rlike(r"\.(" + "|".join(s[1:] for s in C.DATABASE_SUFFIXES) + ")$") | F.coalesce(F.substring(head, 1, 6) == F.lit(b"SQLite"), F.lit(False))
+
+
+def not_done(files: DataFrame, actions: DataFrame, action: str) -> DataFrame:
+    """files without those that an action of this name without an error has already taken."""
+    done = actions.where((F.col("action") == action) & F.col("error").isNull()).select("path") if "error" in actions.columns else actions.where(F.col("action") == action).select("path")
+    return files.join(done, "path", "left_anti")
+
+
+def outside(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """files (path) that lie in none of the directories (path), at any depth. Joined on the directories above a file,
+    so that neither side has to fit in memory."""
+    parts = F.split(F.col("path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    inside = files.where(F.size(parts) > 1).select("path", F.explode(above).alias("_above")).join(directories.select(F.rtrim(F.col("path"), F.lit("/")).alias("_above")), "_above", "left_semi").select("path")
+    return files.join(inside, "path", "left_anti")
+
+
+def companion_actions(files: DataFrame) -> DataFrame:
+    """(action, path) for the files that a database engine leaves beside a database: delete_companion where the
+    database is there, delete_orphan where it is not."""
+    found = files.where(F.lower("path").rlike("-(wal|shm|journal)$")).select("path", F.regexp_replace("path", "(?i)-(wal|shm|journal)$", "").alias("_base"))
+    there = files.select(F.col("path").alias("_base"), F.lit(True).alias("_there")).distinct()
+    return found.join(there, "_base", "left").select(F.when(F.col("_there"), "delete_companion").otherwise("delete_orphan").alias("action"), "path")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.policy import Policy
+from veilspark.functions.safe_harbor import Profile
+from veilspark.operators.tables import Sanitized, sanitize_table
 
 
 def detect_platforms(tables: DataFrame) -> DataFrame:
@@ -40,6 +45,33 @@ def handle_table(df: DataFrame, db_type: str, table: str) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class SanitizedDatabase:
+    """db_type: the kind that was told, or none. tables: by name, after its handler and the sweep of what it left."""
+
+    db_type: str | None
+    tables: dict[str, Sanitized]
+
+
+def sanitize_database(tables: dict[str, DataFrame], policy: Policy | None = None, profile: Profile | None = None, gated: bool = True) -> SanitizedDatabase:
+    """The tables of one database by name. Its kind is told by their names; the handler of that kind comes first, then
+    every table that it did not empty is swept like one of an unknown database. One name a table is collected."""
+    spark = next(iter(tables.values())).sparkSession if tables else None
+    if spark is None:
+        return SanitizedDatabase(None, {})
+    names = spark.createDataFrame([("db", t) for t in tables], "db string, table_name string")
+    db_type = detect_platforms(names).first().db_type
+    emptied = {n.lower() for n in C.EMPTIED_TABLES.get(db_type, ())}
+    done = {}
+    for name, df in tables.items():
+        if name.lower() in emptied:
+            n = df.select(F.count("*").alias("events"))
+            done[name] = Sanitized(df.limit(0), n.select(F.lit("*").alias("column_name"), "events"), n.where("events > 0").select(F.lit(f"pii_table:{name}").alias("evidence")))
+        else:
+            done[name] = sanitize_table(handle_table(df, db_type, name) if db_type else df, name, policy, profile, gated)
+    return SanitizedDatabase(db_type, done)
+
+
 def knowledge_rows(df: DataFrame) -> DataFrame:
     """Streams of certain kinds go; values other than the system's own names are redacted."""
     names = {c.lower(): c for c in df.columns}

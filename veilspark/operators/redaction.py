@@ -7,11 +7,13 @@ seen from the text having changed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.catalog import DIGIT_FREE, Detector
-from veilspark.functions.columns import contains_any, has_digit, java, matches_of, token
+from veilspark.functions.columns import contains_any, has_digit, java, matches_of, named, screened, token
 from veilspark.functions.policy import Policy, select
 
 EMPTY = "CAST(array() AS array<string>)"
@@ -34,7 +36,7 @@ def redact_gated(text: Column, d: Detector) -> Column:
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("found")))
     folded = F.aggregate(F.reverse(pairs), state, step, lambda acc: F.struct(acc["rest"].alias("text"), acc["hit"].alias("hit")))
-    return F.when(text.rlike(java(d)), folded).otherwise(F.struct(text.alias("text"), F.lit(False).alias("hit")))
+    return F.when(contains_any(F.lower(text), d.keywords) & text.rlike(java(d)), folded).otherwise(F.struct(text.alias("text"), F.lit(False).alias("hit")))
 
 
 def redact_columns(df: DataFrame, columns: dict[str, str], policy: Policy | None = None, gated: bool = True) -> DataFrame:
@@ -44,7 +46,7 @@ def redact_columns(df: DataFrame, columns: dict[str, str], policy: Policy | None
     if not columns or not policy.detectors:
         return df.withColumns({t: F.expr(EMPTY) for t in columns.values()}) if columns else df
     names = {c: (f"_{i}_new", f"_{i}_old", f"_{i}_types", f"_{i}_digit") for i, c in enumerate(columns)}
-    whole = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    whole = {c: F.col(named(c)).cast("string") for c in columns}
     df = df.withColumns({k: v for c, (new, old, types, digit) in names.items() for k, v in ((new, whole[c]), (old, whole[c]), (types, F.expr(EMPTY)), (digit, has_digit(whole[c])))})
     before: Detector | None = None
 
@@ -56,6 +58,7 @@ def redact_columns(df: DataFrame, columns: dict[str, str], policy: Policy | None
         for new, old, types, digit in names.values():
             text = F.col(new)
             changed = redact_gated(text, d)["text"] if d.keywords else F.regexp_replace(text, java(d), token(d))
+            changed = changed if d.keywords else screened(text, d, changed, text)
             step |= {new: changed if d.name in DIGIT_FREE else F.when(F.col(digit), changed).otherwise(text), old: text, types: fired(new, old, types)}
         df = df.withColumns(step)
         before = d
@@ -64,15 +67,27 @@ def redact_columns(df: DataFrame, columns: dict[str, str], policy: Policy | None
     return df.drop(*[n for group in names.values() for n in group])
 
 
+def _line_step(d: Detector) -> Callable[[Column], Column]:
+    if d.keywords:
+        return lambda line: redact_gated(line, d)["text"]
+    return lambda line: screened(line, d, F.regexp_replace(line, java(d), token(d)), line)
+
+
 def redact_lines(df: DataFrame, text: str, keys: list[str], policy: Policy | None = None) -> DataFrame:
-    """Log texts, line by line: keys, text, lines_redacted, types (sorted). keys identify a row; line ends stay."""
+    """Log texts, line by line: keys, text, lines_redacted, types (sorted); line ends stay. All inside the row, so that
+    nothing is shuffled and keys may repeat: one projection over the array of lines for each detector."""
+    policy = policy or select()
     ends = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])"
-    lines = df.select(*keys, F.posexplode_outer(F.split(text, ends, -1)).alias("_no", "_line"))
-    done = redact_columns(lines, {"_line": "_types"}, policy)
-    per_row = done.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda s: s["_line"]), "").alias("text"),
-        F.count_if(F.size("_types") > 0).alias("lines_redacted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_types")))).alias("types"),
-        F.count("_line").alias("_lines"),
-    )
-    return per_row.select(*keys, F.when(F.col("_lines") > 0, F.col("text")).alias("text"), "lines_redacted", "types")
+    whole = F.col(named(text)).cast("string")
+    df = df.select(*keys, F.split(whole, ends, -1).alias("_lines"), F.expr(EMPTY).alias("_types")).withColumns({"_new": F.col("_lines"), "_old": F.col("_lines")})
+    before: Detector | None = None
+
+    def fired() -> Column:
+        return F.when(F.col("_new") != F.col("_old"), F.concat("_types", F.array(F.lit(before.name)))).otherwise(F.col("_types")) if before else F.col("_types")
+
+    for d in [*policy.plain, *policy.gated]:
+        df = df.withColumns({"_new": F.transform("_new", _line_step(d)), "_old": F.col("_new"), "_types": fired()})
+        before = d
+    df = df.withColumn("_types", fired())
+    changed = F.size(F.filter(F.zip_with("_lines", "_new", lambda a, b: a != b), lambda x: x))
+    return df.select(*keys, F.array_join("_new", "").alias("text"), F.coalesce(F.when(F.col("_lines").isNotNull(), changed), F.lit(0)).cast("long").alias("lines_redacted"), F.array_sort("_types").alias("types"))

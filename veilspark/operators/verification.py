@@ -1,14 +1,15 @@
 """Verification after redaction: findings, checks that could not run, and one verdict. It fails closed."""
 
-from __future__ import annotations
-
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions import catalog as C
+from veilspark.functions.columns import named
 from veilspark.functions.policy import Policy, select
 from veilspark.operators.detection import detect
 
@@ -37,18 +38,58 @@ def scan_files(files: DataFrame, policy: Policy | None = None, limit: int = C.SC
     return detect(scanned.where(F.col("length") <= limit), "text", F.col("path"), policy), large.unionByName(unread)
 
 
+def texts_of(value: Column, kind: T.DataType) -> Column | None:
+    """All texts inside a value of any type, as an array; null where nothing looks into such a type. Truth values hold no text."""
+    empty = F.expr("CAST(array() AS array<string>)")
+    if isinstance(kind, T.BinaryType):
+        return F.coalesce(decode_variants(value), empty)
+    if isinstance(kind, T.BooleanType) or isinstance(kind, T.NullType):
+        return empty
+    if isinstance(kind, T.AtomicType):
+        return F.when(value.isNotNull(), F.array(value.cast("string"))).otherwise(empty)
+    if isinstance(kind, T.StructType):
+        inner = [texts_of(value[f.name], f.dataType) for f in kind.fields]
+        return None if any(x is None for x in inner) else F.coalesce(F.concat(*inner), empty) if inner else empty
+    if isinstance(kind, T.MapType):
+        keys, values = texts_of(F.map_keys(value), T.ArrayType(kind.keyType)), texts_of(F.map_values(value), T.ArrayType(kind.valueType))
+        return None if keys is None or values is None else F.coalesce(F.concat(keys, values), empty)
+    if isinstance(kind, T.ArrayType):
+        if texts_of(value, kind.elementType) is None or _holds_binary(kind.elementType):  # Python takes no part in a lambda
+            return None
+        return F.coalesce(F.flatten(F.transform(value, lambda x: texts_of(x, kind.elementType))), empty)
+    return None
+
+
+def _holds_binary(kind: T.DataType) -> bool:
+    return isinstance(kind, T.BinaryType) or any(_holds_binary(k) for k in (getattr(kind, "elementType", None), getattr(kind, "keyType", None), getattr(kind, "valueType", None), *(f.dataType for f in getattr(kind, "fields", ()))) if k is not None)
+
+
 def scan_table(df: DataFrame, table: str, policy: Policy | None = None) -> DataFrame:
-    """Findings in all scalar columns, at paths table.column."""
-    cells = [c for c, t in df.dtypes if t.split("<")[0] not in ("array", "map", "struct", "boolean", "binary")]
+    """Findings in all columns, at paths table.column: nested values by what they hold, binary ones as UTF-8 and UTF-16."""
+    cells = {f.name: texts_of(F.col(named(f.name)), f.dataType) for f in df.schema.fields}
+    cells = {c: x for c, x in cells.items() if x is not None}
     if not cells:
         return df.sparkSession.createDataFrame([], MATCH)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f"{table}.{c}").alias("path"), F.col(f"`{c}`").cast("string").alias("value")) for c in cells])).alias("c")).select("c.*")
+    plain = df.select(*[x.alias(f"c{i}") for i, x in enumerate(cells.values())])
+    long = plain.select(F.explode(F.array(*[F.struct(F.lit(f"{table}.{c}").alias("path"), F.col(f"c{i}").alias("texts")) for i, c in enumerate(cells)])).alias("c")).select("c.path", F.explode("c.texts").alias("value"))
     return detect(long, "value", F.col("path"), policy)
 
 
-def decode_variants(value: Column) -> Column:
-    """The texts that a binary value may hold, read as UTF-8 and as UTF-16; what is invalid gives replacement marks."""
-    return F.array(F.make_valid_utf8(value.cast("string")), F.decode(value, "UTF-16"))
+def unscanned_columns(df: DataFrame, table: str) -> DataFrame:
+    """(check, path, reason) of the columns into which scan_table doesn't look."""
+    rows = [("table_scan", f"{table}.{f.name}", f"no texts are read from {f.dataType.simpleString()}") for f in df.schema.fields if texts_of(F.col(named(f.name)), f.dataType) is None]
+    return df.sparkSession.createDataFrame(rows, "check string, path string, reason string")
+
+
+def verify_table(df: DataFrame, table: str, policy: Policy | None = None) -> Verification:
+    """scan_table, and no pass while a column is not looked into."""
+    return verify(scan_table(df, table, policy), unscanned_columns(df, table), table)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def decode_variants(values: pd.Series) -> pd.Series:
+    """The texts that a binary value may hold, read as UTF-8 and as UTF-16 without what is invalid; null for null."""
+    return values.map(lambda raw: None if raw is None else list(dict.fromkeys(raw.decode(e, "ignore") for e in ("utf-8", "utf-16"))))
 
 
 def verify(matches: DataFrame, incomplete: DataFrame | None = None, scope: str | None = None) -> Verification:

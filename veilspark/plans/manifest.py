@@ -33,3 +33,10 @@ def manifest(actions: DataFrame, scan: DataFrame, verdict: DataFrame) -> DataFra
 def exit_status(verdict: DataFrame) -> DataFrame:
     """0 if verification passed, else 2."""
     return verdict.select(F.when(F.col("passed"), 0).otherwise(2).alias("status"))
+
+
+def error_evidence(errors: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """errors: operation, table_name, column_name, never values. All of them counted (errors_count), and the first
+    `most` in order as evidence: a bound that the record is to have."""
+    counted = errors.agg(F.count("*").alias("errors_count"))
+    return counted, errors.select("operation", "table_name", "column_name").orderBy("table_name", "column_name", "operation").limit(most)

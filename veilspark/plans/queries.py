@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def sql_found(d: C.Detector, text: str = "text") -> str:
 
 def histogram(df: DataFrame, text: str, detectors: tuple[C.Detector, ...], *by: str) -> DataFrame:
     """Matches by detector (and columns): one scan, one row for each detector and group before the shuffle."""
-    sums = df.groupBy(*by).agg(*[F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(java(d)))), F.lit(0)).cast("long").alias(d.name) for d in detectors])
+    sums = df.groupBy(*by).agg(*[F.coalesce(F.sum(detection.count_matches(F.col(text), d)), F.lit(0)).cast("long").alias(d.name) for d in detectors])
     return sums.select(*by, F.inline(F.array(*[F.struct(F.lit(d.name).alias("pattern_name"), F.col(d.name).alias("n")) for d in detectors])))
 
 
@@ -128,6 +129,19 @@ def context_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.inline(F.array(*[F.struct(F.lit(d.name).alias("pattern_name"), F.lit(d.category).alias("category"), F.col(f"{d.category}_{d.name}").alias("n")) for d in policy.gated])))
 
 
+def sql_gated() -> str:
+    """Matches near a keyword: starts from the lengths of what stands between matches, then a window around each."""
+    parts = []
+    for d in select().gated:
+        p = quoted(("(?i)" if d.ignore_case else "") + d.pattern)
+        start = "(list_sum(sl[1:i]) + coalesce(list_sum(fl[1:i - 1]), 0))"
+        near = f"lower(substring(text, CAST(greatest({start} - {d.window}, 0) + 1 AS BIGINT), CAST({start} + fl[i] + {d.window} - greatest({start} - {d.window}, 0) AS BIGINT)))"
+        hit = " OR ".join(f"contains({near}, {quoted(w.lower())})" for w in d.keywords)
+        lengths = f"SELECT text, list_transform(regexp_extract_all(text, {p}), lambda x: length(x)) AS fl, list_transform(regexp_split_to_array(text, {p}), lambda x: length(x)) AS sl FROM documents WHERE regexp_matches(text, {p})"
+        parts.append(f"SELECT {quoted(d.name)} AS pattern_name, {quoted(d.category)} AS category, CAST(coalesce(sum(len(list_filter(range(1, len(fl) + 1), lambda i: {hit}))), 0) AS BIGINT) AS n FROM ({lengths})")
+    return " UNION ALL ".join(parts)
+
+
 def redact_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = redaction.redact_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "types"}, select(only=list(COMMON)))
     return out.select("doc_id", "text", F.array_join("types", ",").alias("types"))
@@ -313,7 +327,48 @@ def incomplete_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verification.scan_table(table(spark, sf_dir, "customer"), "customer", select(only=["phone_us", "email", "gps_coord"])).groupBy("path", "pattern_name").agg(F.count("*").alias("n"))
+    df = table(spark, sf_dir, "customer").withColumn("memo", F.concat(F.lit("mail u"), F.col("c_custkey").cast("string"), F.lit("@example.org")))
+    return verification.scan_table(df, "customer", select(only=["phone_us", "email", "gps_coord"])).groupBy("path", "pattern_name").agg(F.count("*").alias("n"))
+
+
+def scan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in binary columns of both encodings and in nested ones: findings by column, and columns that no check reads."""
+    docs = table(spark, sf_dir, "documents").select(F.encode("text", "UTF-8").alias("u8"), F.encode("text", "UTF-16").alias("u16"), F.array("text", "lang").alias("list"), F.create_map(F.lit("k"), F.col("text")).alias("map"), F.struct("text", F.array(F.struct("text")).alias("more")).alias("nested"), F.array(F.encode("text", "UTF-8")).alias("dark"))
+    found = verification.scan_table(docs, "d", select(only=list(COMMON))).groupBy("path", "pattern_name").agg(F.count("*").alias("n"))
+    return found.unionByName(verification.unscanned_columns(docs, "d").select("path", F.lit("incomplete").alias("pattern_name"), F.lit(1).cast("long").alias("n")))
+
+
+def jailbreak_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees by the event's number, some with a sign: what each is told to be."""
+    n = F.col("event_id")
+    signs = F.element_at(F.array(*[F.lit(x) for x in JAILBREAK_PATHS]), (n % len(JAILBREAK_PATHS) + 1).cast("int"))
+    events = table(spark, sf_dir, "events").select((n % 11).alias("tree"), F.when(n % 11 < 8, signs).otherwise(F.lit("private/var/mobile/x")).alias("path"))
+    out = [paths.jailbreak(events.where(F.col("tree") == i)).select(F.lit(i).cast("long").alias("tree"), "detected", "type") for i in range(11)]
+    return reduce(DataFrame.unionByName, out)
+
+
+JAILBREAK_PATHS = ("private/var/jb/usr/bin/sh", "private/var/mobile/Media/a.jpg", "System/Library/x")
+
+
+def cache_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    path = F.concat(F.element_at(F.array(*[F.lit(x) for x in CACHE_ROOTS]), (n % len(CACHE_ROOTS) + 1).cast("int")), n.cast("string"), F.element_at(F.array(*[F.lit(x) for x in CACHE_NAMES]), (n % len(CACHE_NAMES) + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", artifacts.artifact_kind(path).alias("kind"))
+
+
+CACHE_ROOTS = ("a/Library/Caches/", "x/Code Cache/", "logs/CrashReporter/", "db/store.leveldb/", "plain/", "u/IndexedDB/")
+CACHE_NAMES = (".txt", ".swp", ".ips", "/pagefile.sys", ".evtx")
+
+
+def files_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths outside of deleted directories whose plist was not yet redacted, and companions of databases."""
+    files = device_paths(spark, sf_dir).select("path")
+    acted = files.where("path LIKE '%.plist' AND length(path) % 2 = 0").select(F.lit("plist_sanitize").alias("action"), "path", F.lit(None).cast("string").alias("error"))
+    gone = spark.createDataFrame([("private/var/mobile/Library/SMS",), ("opt/",)], "path string")
+    left = paths.not_done(paths.outside(files, gone), acted, "plist_sanitize").select(F.lit("left").alias("action"), "path")
+    beside = files.where("path LIKE '%.db'").select(F.concat("path", F.lit("-wal")).alias("path")).unionByName(files.where("path LIKE '%.txt'").select(F.concat("path", F.lit("-shm")).alias("path")))
+    real = files.where("path LIKE '%.db'").unionByName(beside)
+    return left.unionByName(paths.companion_actions(real)).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +389,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f.__name__: f for f in (
         pattern_histogram, pages_histogram, conversations_histogram, matches_by_lang, matches_by_source, findings, findings_all, context_matches, redact_common, redact_all, second_pass,
         log_lines, sensitive_columns, table_evidence, table_counts, numbered_redaction, json_redaction, key_predicate, csv_policy, zips, dates, profile_values, gap_list, classify_paths,
-        action_histogram, scan_summary, manifest_summary, artifact_histogram, size_partition, platform_detect, platform_emptied, document_hashes, verify_redacted, verify_raw, incomplete_files, scan_customer,
+        action_histogram, scan_summary, manifest_summary, artifact_histogram, size_partition, platform_detect, platform_emptied, document_hashes, verify_redacted, verify_raw, incomplete_files, scan_customer, scan_nested, jailbreak_type, cache_kinds, files_left,
         selectors, stream_redaction,
     )}
     found |= {f"suppress_{n}": suppression_query(n) for n in ("ip_v4", "credit_card", "swift_bic", "phone_us")}
@@ -364,6 +419,7 @@ def oracle_sql() -> dict[str, str]:
         "matches_by_lang": sql_histogram("documents", "text", common, "lang"),
         "matches_by_source": sql_histogram("documents", "text", common, "source"),
         "findings": found,
+        "context_matches": sql_gated(),
         "redact_common": f"SELECT doc_id, {redacted} AS text, concat_ws(',', {', '.join(fired)}) AS types FROM documents",
         "second_pass": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM documents",
         "log_lines": f"SELECT doc_id, string_agg({sql_redact('line', ('email', 'phone_us'))}, chr(10) ORDER BY no) AS text, CAST(count(*) FILTER (WHERE {sql_redact('line', ('email', 'phone_us'))} <> line) AS INTEGER) AS lines_redacted FROM ({lines}) GROUP BY doc_id",
@@ -390,6 +446,11 @@ def oracle_sql() -> dict[str, str]:
         "verify_redacted": "SELECT true AS passed, true AS performed, CAST(NULL AS VARCHAR) AS scope, CAST(0 AS BIGINT) AS total_findings, CAST(0 AS BIGINT) AS incomplete",
         "verify_raw": f"SELECT count(*) = 0 AS passed, count(*) AS total_findings FROM ({found})",
         "incomplete_files": f"SELECT 'text_scan' AS \"check\", CASE WHEN length > 10485760 THEN 'over the scan limit' ELSE 'unreadable' END AS reason, count(*) AS n FROM ({SQL_PATHS}) WHERE regexp_matches(path, '\\.(txt|plist|json|csv)$') AND NOT contains(path, 'System/Library/') AND (length > 10485760 OR event_id % 5 = 0) GROUP BY 2",
+        "scan_nested": f"WITH f AS (SELECT pattern_name, count(*) AS n FROM ({found}) GROUP BY 1) SELECT path, pattern_name, CAST(n * times AS BIGINT) AS n FROM f, (VALUES ('d.u8', 1), ('d.u16', 1), ('d.list', 1), ('d.map', 1), ('d.nested', 2)) p(path, times) UNION ALL SELECT 'd.dark', 'incomplete', 1",
+        "scan_customer": "SELECT 'customer.memo' AS path, 'email' AS pattern_name, count(*) AS n FROM customer",
+        "jailbreak_type": f"SELECT tree, bool_or(starts_with(path, 'private/var/jb/')) AS detected, CASE WHEN bool_or(starts_with(path, 'private/var/jb/')) THEN 'unknown' ELSE '' END AS type FROM (SELECT event_id % 11 AS tree, CASE WHEN event_id % 11 < 8 THEN list_extract([{', '.join(map(quoted, JAILBREAK_PATHS))}], CAST(event_id % 3 + 1 AS INTEGER)) ELSE 'x' END AS path FROM events) GROUP BY tree",
+        "cache_kinds": f"SELECT event_id, CASE WHEN contains(p, '.leveldb/') THEN 'leveldb' WHEN contains(p, 'Caches/') OR contains(p, 'Code Cache/') THEN 'cache' WHEN suffix(p, '.swp') OR suffix(p, '/pagefile.sys') THEN 'swap' WHEN contains(p, 'CrashReporter/') OR suffix(p, '.ips') THEN 'crash' WHEN contains(p, 'IndexedDB/') OR suffix(p, '.evtx') THEN 'artifact' END AS kind FROM (SELECT event_id, list_extract([{', '.join(map(quoted, CACHE_ROOTS))}], CAST(event_id % 6 + 1 AS INTEGER)) || event_id || list_extract([{', '.join(map(quoted, CACHE_NAMES))}], CAST(event_id % 5 + 1 AS INTEGER)) AS p FROM events)",
+        "files_left": f"WITH p AS (SELECT path FROM ({SQL_PATHS})) SELECT 'left' AS action, count(*) AS n FROM p WHERE NOT (starts_with(path, 'private/var/mobile/Library/SMS/') OR starts_with(path, 'opt/')) AND NOT (suffix(path, '.plist') AND length(path) % 2 = 0) UNION ALL SELECT 'delete_companion', count(*) FROM p WHERE suffix(path, '.db') UNION ALL SELECT 'delete_orphan', count(*) FROM p WHERE suffix(path, '.txt')",
         "selectors": "SELECT * FROM (VALUES ('all', 68), ('only financial', 16), ('only email', 1), ('skip crypto and email', 60), ('listed', 68)) t(selection, detectors)",
         "stream_redaction": f"SELECT doc_id, {redacted} AS text FROM documents",
         "suppress_ip_v4": sql_suppression("ip_v4", f"{octet(1)} IN (17, 10) OR ({octet(1)} = 172 AND {octet(2)} BETWEEN 16 AND 31) OR ({octet(1)} = 192 AND {octet(2)} = 168) OR length(match_text) = 7"),
