@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from veilspark.functions.catalog import SAFE_KEYS, SENSITIVE_FRAGMENTS, Detector
+from veilspark.functions.catalog import DIGIT_FREE, LITERALS, SAFE_KEYS, SENSITIVE_FRAGMENTS, Detector
 from veilspark.functions.columns import token
 from veilspark.functions.policy import Policy
 
@@ -20,12 +20,18 @@ def compiled(d: Detector) -> re.Pattern:
 
 def redact_text(text: str, policy: Policy) -> tuple[str, list[str]]:
     types = []
+    digit = any(map(str.isdecimal, text))
     for d in policy.plain:
+        literals = LITERALS.get(d.name)
+        if (not digit and d.name not in DIGIT_FREE) or (literals and not any(x in text for x in literals)):
+            continue
         text, n = compiled(d).subn(token(d), text)
         if n:
             types.append(d.name)
     for d in policy.gated:
-        hit = False
+        hit, low = False, text.lower()
+        if not any(w.lower() in low for w in d.keywords):
+            continue
         for m in reversed(list(compiled(d).finditer(text))):
             near = text[max(0, m.start() - d.window) : m.end() + d.window].lower()
             if any(w.lower() in near for w in d.keywords):
