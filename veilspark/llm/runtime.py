@@ -110,7 +110,7 @@ def running_sum(df: DataFrame, group: list[str], bucket: Column, order: list[Col
 
 def buckets(rows: int) -> int:
     """How many hash buckets keep a bucket of `rows` rows near 20,000, at any size."""
-    return max(512, rows // 20_000)
+    return max(256, rows // 20_000)
 
 
 def join_salted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
