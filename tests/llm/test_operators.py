@@ -395,6 +395,30 @@ def test_op9_fuzzy_lines(spark, none):
     assert fuzzy_lines.dedup_lines(none).isEmpty()
 
 
+def test_op9_recall_of_bands_on_real_lines():
+    """Lines of the documents with characters changed until a little over 0.8 of the shingles are shared: how many
+    such pairs share a band."""
+    import pyarrow.parquet as pq
+
+    rng, rule = random.Random(1), fuzzy_lines.LineRule()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    lines = sorted({x for t in texts if t for x in t.split("\n") if 60 <= len(x) <= 1000})[:4000]
+    pairs = []
+    for x in lines:
+        one, y = {x[i : i + 8] for i in range(len(x) - 7)}, list(x)
+        while True:
+            y[rng.randrange(len(y))] = "#"
+            z = "".join(y)
+            two = {z[i : i + 8] for i in range(len(z) - 7)}
+            both = len(one & two) / len(one | two)
+            if both < 0.83:
+                break
+        if both >= 0.8:
+            pairs.append((x, z))
+    a, b = (fuzzy_lines.band_hashes(*fuzzy_lines.char_shingles([p[k] for p in pairs], rule.q), rule.bands, rule.rows) for k in (0, 1))
+    assert len(pairs) > 500 and (a == b).any(axis=1).mean() > 0.985
+
+
 def test_op10_mix(spark, docs, none):
     rows, shares = mixing.mix_sources(docs, plan=mixing.MixPlan(blocks=500))
     got = rows.collect()

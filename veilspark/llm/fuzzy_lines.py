@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.blooms import bloom_of, may_hold
 from veilspark.llm.components import connected_components
 from veilspark.llm.jaccard_join import JaccardRule, verified
-from veilspark.llm.runtime import batches, written
+from veilspark.llm.runtime import batches, tasks_for, written
 from veilspark.llm.textbytes import mix, powers
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -161,7 +161,7 @@ def star_rows(bucket: np.ndarray, key: np.ndarray, heads: bool) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array([head] * len(part)), part, pa.array(b[i : i + 100_000])], names=["head", "a", "b"])
 
 
-def _edges(stars: DataFrame) -> DataFrame:
+def _edges(stars: DataFrame, rows: int) -> DataFrame:
     """The tasks' edges, and edges between their smallest lines of each bucket."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _edges(stars: DataFrame) -> DataFrame:
             for batch in star_rows(a[head], b[head], heads=False):
                 yield batch.select(["a", "b"])
 
-    return stars.repartition("a").mapInArrow(run, "a long, b long")
+    return stars.repartition(tasks_for(stars.sparkSession, rows, 4_000_000), "a").mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
@@ -205,7 +205,8 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
 
 def line_classes(docs: DataFrame, described: DataFrame, rule: LineRule) -> DataFrame | None:
     """(name, label) of the lines that are linked to others; label is the smallest name. None without any."""
-    comps = connected_components(_edges(_stars(described)))
+    rows = described.agg(F.sum(F.size("fresh"))).first()[0] or 0
+    comps = connected_components(_edges(_stars(described), rows * rule.bands))
     if comps.isEmpty():
         return None
     comps = written(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "comps")

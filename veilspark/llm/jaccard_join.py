@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.blooms import bloom_of, may_hold, sum_blobs
 from veilspark.llm.components import Forest, connected_components
-from veilspark.llm.runtime import batches, fresh_name, join_salted, written
+from veilspark.llm.runtime import batches, fresh_name, join_salted, tasks_for, written
 from veilspark.llm.textbytes import LOWER, Chunk, mix, shingles
 
 LEAF = 16
@@ -251,10 +251,10 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, rule: JaccardRule) -> DataFra
     return docs.select("text").mapInArrow(run, "shingle long, part int, key long")
 
 
-def _grouped(prefixes: DataFrame, dense: int) -> DataFrame:
+def _grouped(prefixes: DataFrame, dense: int, rows: int) -> DataFrame:
     """(kind, a, b): members of buckets (0: bucket, key), edges (1), and frequent shingles' least keys by part (2:
     shingle, key). A bucket is named by its members, so that shingles of the very same sets give one bucket; it
-    has `dense` members at most, larger ones become stars of edges."""
+    has `dense` members at most, larger ones become stars of edges. rows: about how many prefixes there are."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in frames if len(b)]
@@ -287,10 +287,10 @@ def _grouped(prefixes: DataFrame, dense: int) -> DataFrame:
         for i in range(0, len(kinds), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (kinds, a, b)], names=["kind", "a", "b"])
 
-    return prefixes.repartition("shingle", "part").mapInArrow(run, "kind int, a long, b long")
+    return prefixes.repartition(tasks_for(prefixes.sparkSession, rows, 2_000_000), "shingle", "part").mapInArrow(run, "kind int, a long, b long")
 
 
-def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
+def _bucket_edges(rows: DataFrame, percent: int, n_members: int) -> DataFrame:
     """rows: bucket, key, n, vector of buckets of bounded size. Edges of a forest of each bucket."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +314,7 @@ def _bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
                         b.append(key[rows_[forest.find(i)]])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("bucket", "key", "n", "vector").repartition("bucket").mapInArrow(run, "a long, b long").where("a <> b")
+    return rows.select("bucket", "key", "n", "vector").repartition(tasks_for(rows.sparkSession, n_members, 200_000), "bucket").mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -440,7 +440,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = sum_blobs(described.where("n IS NULL").select("vector"), np.add, np.int64)
     if sketch is None:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("label"), "digest")
-    grouped = written(_grouped(_prefixes(docs, sketch, rule), rule.dense), "grouped")
+    n_prefixes = int(sketch[: 1 << rule.sketch_bits].sum()) * (100 - rule.percent) // 100 + rows.count()
+    grouped = written(_grouped(_prefixes(docs, sketch, rule), rule.dense, n_prefixes), "grouped")
     members = grouped.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("key")).distinct()
     stars = grouped.where("kind = 1").select("a", "b")
     heads = grouped.where("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("key"))  # at most 64 of a shingle
@@ -452,7 +453,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = members.join(members.join(double, "key", "left_semi").select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.min("key").alias("b"))
     doubled = members.join(double, "key", "left_semi").join(lows, "bucket").select(F.col("key").alias("a"), "b")
     same = double.select(F.col("key").alias("a"), (F.col("key") + 0).alias("b"))
-    edges = _bucket_edges(small, rule.percent).unionByName(stars.where("a <> b")).unionByName(doubled.where("a <> b"))
+    edges = _bucket_edges(small, rule.percent, grouped.where("kind = 0").count()).unionByName(stars.where("a <> b")).unionByName(doubled.where("a <> b"))
     comps = connected_components(edges).select(F.col("node").alias("key"), F.col("label").alias("comp"))
     comps = written(comps.unionByName(same.join(comps, same["a"] == comps["key"], "left_anti").select(F.col("a").alias("key"), F.col("b").alias("comp"))), "comps")
     if comps.isEmpty():

@@ -113,6 +113,11 @@ def buckets(rows: int) -> int:
     return max(256, rows // 20_000)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """So many shuffle partitions that one gets about `each` rows at most; the session's number where that is enough."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def join_salted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
     """many joined to the one row for each key of `one`; no key meets in one task.
 
