@@ -11,11 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.columns import named
 from veilspark.functions.policy import select
 from veilspark.functions.pytext import redact_text
 from veilspark.functions.safe_harbor import generalize_date, profile, truncate_zip
 from veilspark.functions.suppression import suppressed
-from veilspark.operators import carriers, coverage, detection, paths, platforms, redaction, tables, verification
+from veilspark.operators import carriers, coverage, detection, paths, platforms, redaction, rules, tables, verification
 from veilspark.plans import manifest
 from veilspark.sources import files, sqlite
 
@@ -237,3 +238,44 @@ def test_paths_done_inside_and_beside(spark):
     errors = spark.createDataFrame([("update", "t", f"c{i:03d}") for i in range(150)], "operation string, table_name string, column_name string")
     counted, first = manifest.error_evidence(errors)
     assert counted.first()[0] == 150 and values(first, "column_name") == [f"c{i:03d}" for i in range(100)]
+
+
+def test_statements_of_a_rule(spark):
+    """In order, each on what is left; what can't run is an error and stops no other; LIKE ignores case; quotes and names as in SQLite."""
+    assert rules.portable("UPDATE \"a`b\" SET x = 'it''s \\ like' WHERE y like '%LIKE%'") == "UPDATE `a``b` SET x = 'it\\'s \\\\ like' WHERE y ILIKE '%LIKE%'"
+    know = spark.createDataFrame([("/app/Safari", "x"), ("/app", "com.apple.x"), ("/app", "org.y"), (None, None), ("Contacts", "q")], "ZSTREAMNAME string, ZVALUESTRING string")
+    more = ["DROP TABLE x", "rubbish", "DELETE FROM nowhere", "UPDATE zobject SET nope = 1", "UPDATE place SET lat = 'it''s', id = id + 1 WHERE \"id\" = 2", "UPDATE place SET id = 0 WHERE lat = 'it''s'"]
+    place = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, None)], "id int, lat double")
+    got = rules.apply_rules({"zobject": know, "place": place, "kept": know}, [*rules.rules_of("/x/CoreDuet/Knowledge/knowledgec.db"), *more], spark)
+    assert sorted(map(str, got.tables["zobject"].collect())) == sorted(map(str, spark.createDataFrame([("/app", "com.apple.x"), ("/app", "[REDACTED]"), (None, None)], know.schema).collect()))
+    assert [tuple(r) for r in got.tables["place"].orderBy("id").collect()] == [(0, "it's"), (1, "0.5"), (3, None)] and got.tables["kept"] is know
+    assert {(r.position, r.rows_affected) for r in got.counts.collect()} == {(0, 3), (1, 1), (2, 0), (3, 0), (4, 1), (9, 1), (10, 1)}
+    assert Counter(r.operation for r in got.errors.collect()) == {"parse": 2, "delete": 1, "update": 1}
+    assert rules.rules_of("a/TCC.db") is None and rules.rules_of("Library/TCC/TCC.db") == () and rules.apply_rules({}, [], spark).counts.isEmpty()
+    with pytest.raises(ValueError):
+        rules.apply_rules({"t": spark.createDataFrame([("x",)], "_alive_ string")}, ["DELETE FROM t"], spark)
+
+
+def test_devices_and_integrity(spark, tmp_path):
+    root = "private/var/mobile/Containers/Data/Application/"
+    some = spark.createDataFrame([(root + "A/Documents/x",), (root + "A/y/SILEO.db",), (root + "B/z",), (root + "loose",), ("x/" + root + "C/sileo",), (None,)], "path string")
+    assert {tuple(r) for r in paths.container_actions(some).collect()} == {("preserve", root + "A", "jailbreak app"), ("delete_directory", root + "B", "third-party app")}
+    assert paths.container_actions(some, acted_on=False).isEmpty() and paths.container_actions(some.limit(0)).isEmpty()
+    assert paths.times_normalized(some).first().epoch_ts == 946684800
+    assert values(paths.foreign_databases(spark.createDataFrame([("a\\WebCacheV01.dat",), ("b/webcachev01.DAT",), ("c",), (None,)], "path string")), "check") == ["database"] * 2
+    passed, failed = (spark.createDataFrame([(x,)], "passed boolean") for x in (True, False))
+    wrong, none = spark.createDataFrame([("x",)], "error string"), spark.createDataFrame([], "error string")
+    assert [manifest.exit_status(*a).first().status for a in ((passed,), (failed,), (passed, none), (passed, wrong), (failed, wrong))] == [0, 2, 0, 1, 1]
+    assert verification.integrity(some, some, "t").isEmpty() and values(verification.integrity(some, some.limit(2), "t"), "reason") == ["rows: 6 before, 2 after"]
+    assert values(verification.integrity(some, some.select(F.col("path").alias("p")), "t"), "reason") == ["columns differ"] and verification.integrity(some, some.limit(0), "t", emptied=True).isEmpty()
+    assert not verification.verify(spark.createDataFrame([], verification.MATCH), verification.integrity(some, some.limit(2), "t")).verdict.first().passed
+    version = [("System/Library/CoreServices/SystemVersion.plist", plistlib.dumps({"ProductVersion": "15.4"}, fmt=plistlib.FMT_BINARY)), ("x", b"")]
+    found = spark.createDataFrame(version, "path string, content binary")
+    assert [files.os_version(f).first().version for f in (found, found.limit(0), found.where("path = 'x'"))] == ["15.4", "unknown", "unknown"]
+    for text, separator in (('a;b;c\n1;"x, ; y";2\n\n3;4,5;6\n', ";"), ("a\tb\n1\t2\n", "\t"), ("plain\n", ","), ("", ","), ("a,b\n1,2\n", ",")):
+        (tmp_path / "f.csv").write_text(text)
+        assert files.separator_of(spark, str(tmp_path / "f.csv")) == separator
+    (tmp_path / "f.csv").write_text("a|b\n1|2,3\n")
+    assert files.read_csv(spark, str(tmp_path / "f.csv"), None).first().b == "2,3"
+    with pytest.raises(ValueError):
+        named("a\0b")

@@ -37,6 +37,8 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def named(column: str) -> str:
     """A column's name as an identifier."""
+    if "\0" in column:
+        raise ValueError("a name with a NUL")
     return "`" + column.replace("`", "``") + "`"
 
 

@@ -114,3 +114,26 @@ def companion_actions(files: DataFrame) -> DataFrame:
     found = files.where(F.lower("path").rlike("-(wal|shm|journal)$")).select("path", F.regexp_replace("path", "(?i)-(wal|shm|journal)$", "").alias("_base"))
     there = files.select(F.col("path").alias("_base"), F.lit(True).alias("_there")).distinct()
     return found.join(there, "_base", "left").select(F.when(F.col("_there"), "delete_companion").otherwise("delete_orphan").alias("action"), "path")
+
+
+def container_actions(files: DataFrame, acted_on: bool = True) -> DataFrame:
+    """(action, path, reason) for each directory of an app: apps of certain names, told by any name inside, are kept,
+    all others go. Only files directly in a device's tree have such directories (acted_on)."""
+    root = C.APP_CONTAINERS + "/"
+    low = F.lower("_rest")
+    split = files.where(F.startswith("path", F.lit(root)) & F.lit(acted_on)).select(F.substring_index(F.substr("path", F.lit(len(root) + 1)), "/", 1).alias("_app"), F.substr("path", F.lit(len(root) + 1)).alias("_path"))
+    inner = split.where("_path <> _app AND _app <> ''").select("_app", F.substr("_path", F.length("_app") + 2).alias("_rest"))
+    kept = F.bool_or(_any([F.contains(low, F.lit(n.lower())) for n in C.KEPT_APPS]))
+    apps = inner.groupBy("_app").agg(kept.alias("_kept"))
+    return apps.select(F.when(F.col("_kept"), "preserve").otherwise("delete_directory").alias("action"), F.concat(F.lit(root), "_app").alias("path"), F.when(F.col("_kept"), "jailbreak app").otherwise("third-party app").alias("reason"))
+
+
+def times_normalized(files: DataFrame, epoch: str = "2000-01-01") -> DataFrame:
+    """One row for the manifest: the time (midnight, UTC) that every file and the tree itself would be given."""
+    days = F.unix_date(F.to_date(F.lit(epoch), "yyyy-MM-dd"))
+    return files.agg(F.count("*").alias("n")).select(F.lit("normalize_timestamps").alias("action"), F.lit(epoch).alias("epoch"), (days.cast("long") * 86_400).alias("epoch_ts"), (F.col("n") + 1).alias("files_normalized"))
+
+
+def foreign_databases(files: DataFrame) -> DataFrame:
+    """(check, path, reason): databases of a format that nothing here reads, so that a verdict can't pass over them."""
+    return files.where(F.lower(file_name(F.col("path"))).isin(*[n.lower() for n in C.FOREIGN_DATABASES])).select(F.lit("database").alias("check"), "path", F.lit("a format that is not read: delete it, or convert it first").alias("reason"))

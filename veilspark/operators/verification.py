@@ -106,3 +106,12 @@ def verify(matches: DataFrame, incomplete: DataFrame | None = None, scope: str |
 def verify_column(df: DataFrame, text: str, path: str, policy: Policy | None = None) -> Verification:
     policy = policy or select()
     return verify(detect(df, text, F.lit(path), policy))
+
+
+def integrity(before: DataFrame, after: DataFrame, path: str, emptied: bool = False) -> DataFrame:
+    """(check, path, reason) where a table lost or gained rows or columns; an emptied one is to have none left."""
+    reasons = [] if before.columns == after.columns else ["columns differ"]
+    n = before.agg(F.count("*").alias("_before")).join(F.broadcast(after.agg(F.count("*").alias("_after"))), F.lit(True))  # one row each
+    wrong = F.col("_after") != (F.lit(0) if emptied else F.col("_before"))
+    rows = n.where(wrong).select(F.lit("integrity").alias("check"), F.lit(path).alias("path"), F.concat_ws(" ", F.lit("rows:"), F.col("_before").cast("string"), F.lit("before,"), F.col("_after").cast("string"), F.lit("after")).alias("reason"))
+    return rows.unionByName(before.sparkSession.createDataFrame([("integrity", path, r) for r in reasons], "check string, path string, reason string"))

@@ -30,9 +30,10 @@ def manifest(actions: DataFrame, scan: DataFrame, verdict: DataFrame) -> DataFra
     return whole.select(F.to_json(F.struct("summary", "scan", "verification")).alias("manifest"))
 
 
-def exit_status(verdict: DataFrame) -> DataFrame:
-    """0 if verification passed, else 2."""
-    return verdict.select(F.when(F.col("passed"), 0).otherwise(2).alias("status"))
+def exit_status(verdict: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """1 if the input or output failed (any row of errors), else 0 if verification passed, else 2."""
+    failed = verdict.sparkSession.range(1).select(F.lit(False).alias("failed")) if errors is None else errors.agg((F.count("*") > 0).alias("failed"))
+    return verdict.join(F.broadcast(failed), F.lit(True)).select(F.when(F.col("failed"), 1).when(F.col("passed"), 0).otherwise(2).alias("status"))  # one row each
 
 
 def error_evidence(errors: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:

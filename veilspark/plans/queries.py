@@ -15,8 +15,9 @@ from veilspark.functions.columns import java
 from veilspark.functions.policy import listing, select
 from veilspark.functions.safe_harbor import generalize_date, profile, transform_value, truncate_zip
 from veilspark.functions.suppression import suppressed
-from veilspark.operators import artifacts, carriers, coverage, detection, paths, platforms, redaction, tables, verification
+from veilspark.operators import artifacts, carriers, coverage, detection, paths, platforms, redaction, rules, tables, verification
 from veilspark.plans import manifest
+from veilspark.sources import files
 from veilspark.sources.files import spread
 from veilspark.streaming import redaction as streaming
 
@@ -292,19 +293,90 @@ def size_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.groupBy("kind").agg(F.count("*").alias("n")).unionByName(skipped.groupBy(F.col("action").alias("kind")).agg(F.count("*").alias("n")))
 
 
-PLATFORM_TABLES = "urls visits visit_source meta|logins insecure_credentials cookies meta|sms threads canonical_addresses part|ZGENERICASSET ZPERSON|notes|moz_places moz_historyvisits moz_perms"
+PLATFORM_NAMES = tuple(sorted({n for _, names in C.SIGNATURES for n in names} | {n for names in C.EMPTIED_TABLES.values() for n in names}))
 
 
-def platform_tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"db{i}", t) for i, group in enumerate(PLATFORM_TABLES.split("|")) for t in group.split()], "db string, table_name string")
+def platform_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases of tables that the events name: each of some names that tell or fill a kind of database."""
+    n = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in PLATFORM_NAMES]), ((n * 31 + F.col("user_id")) % len(PLATFORM_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("db"), (n % 199).cast("string")).alias("db"), name.alias("table_name")).distinct()
+
+
+def sql_platforms() -> str:
+    """Kinds by counting the names of each that a database has."""
+    parts = ", ".join(f"({i}, {quoted(kind)}, {quoted(n.lower())}, {len(names)})" for i, (kind, names) in enumerate(C.SIGNATURES) for n in names)
+    names = ", ".join(map(quoted, PLATFORM_NAMES))
+    return f"""dbs AS (SELECT DISTINCT 'db' || event_id % 199 AS db, list_extract([{names}], CAST((event_id * 31 + user_id) % {len(PLATFORM_NAMES)} + 1 AS INTEGER)) AS table_name FROM events),
+parts(position, db_type, low, needed) AS (VALUES {parts}),
+whole AS (SELECT db, position, db_type FROM dbs JOIN parts ON lower(table_name) = low GROUP BY db, position, db_type, needed HAVING count(DISTINCT low) = needed),
+kinds AS (SELECT d.db, arg_min(w.db_type, w.position) AS db_type FROM (SELECT DISTINCT db FROM dbs) d LEFT JOIN whole w ON w.db = d.db GROUP BY d.db)"""
 
 
 def platform_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return platforms.detect_platforms(platform_tables(spark))
+    return platforms.detect_platforms(platform_tables(spark, sf_dir))
 
 
 def platform_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return platforms.emptied_tables(platform_tables(spark))
+    return platforms.emptied_tables(platform_tables(spark, sf_dir))
+
+
+KNOWN_STREAMS = ("/app/Safari", "/siri/ui", "/app/inFocus", "x/Contacts", "/messaging/out", "/display")
+RULE_STATEMENTS = (*dict(C.DATABASE_RULES)["CoreDuet/Knowledge/knowledgeC.db"], "DELETE FROM nowhere", "UPDATE ZOBJECT SET ZSTREAMNAME = concat(ZSTREAMNAME, '\\s') WHERE user_id > 50 OR ZSTREAMNAME LIKE '/DISPLAY'")
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> rules.Ruled:
+    n = F.col("event_id")
+    stream = F.element_at(F.array(*[F.lit(x) for x in KNOWN_STREAMS]), (n % len(KNOWN_STREAMS) + 1).cast("int"))
+    value = F.when(n % 4 == 0, F.concat(F.lit("com.apple."), n.cast("string"))).when(n % 4 < 3, F.concat(F.lit("org.x"), n.cast("string")))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", stream.alias("ZSTREAMNAME"), value.alias("ZVALUESTRING"))
+    return rules.apply_rules({"ZOBJECT": events}, RULE_STATEMENTS, spark)
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ruled(spark, sf_dir).tables["ZOBJECT"].drop("user_id")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ruled(spark, sf_dir)
+    return out.counts.unionByName(out.errors.select(F.lit(None).cast("int").alias("position"), "table_name", "operation", F.lit(None).cast("long").alias("rows_affected")))
+
+
+def sql_ruled() -> str:
+    plain = "v IS NOT NULL AND NOT starts_with(v, 'com.apple.')"
+    stream = f"list_extract([{', '.join(map(quoted, KNOWN_STREAMS))}], CAST(event_id % {len(KNOWN_STREAMS)} + 1 AS INTEGER))"
+    return f"(SELECT event_id, user_id, s, CASE WHEN {plain} THEN '[REDACTED]' ELSE v END AS v, {plain} AS put FROM (SELECT event_id, user_id, {stream} AS s, CASE event_id % 4 WHEN 0 THEN 'com.apple.' || event_id WHEN 3 THEN NULL ELSE 'org.x' || event_id END AS v FROM events))"
+
+
+CONTAINED = ("Documents/a", "Library/Caches/b", "Documents/c", "tmp/d", "e", "f/g", "Library/org.coolstar.sileo.", "h", "i", "j", "k/Newterm/", "l", "m", "n/o", "p", "q", "r", "s", "t")
+
+
+def app_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in directories of apps, by the events: some hold the name of an app that is kept."""
+    n = F.col("event_id")
+    inside = F.element_at(F.array(*[F.lit(x) for x in CONTAINED]), (n % len(CONTAINED) + 1).cast("int"))
+    root = F.when(n % 9 == 0, "private/var/mobile/x/").otherwise(C.APP_CONTAINERS + "/")
+    return paths.container_actions(table(spark, sf_dir, "events").select(F.concat(root, F.lit("A"), (F.col("user_id") * 100 + n % 100).cast("string"), F.lit("/"), inside, n.cast("string")).alias("path")))
+
+
+def times_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.times_normalized(device_paths(spark, sf_dir), "2001-09-09")
+
+
+def os_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each supplier; every third one's system file is no property list, every fifth has none."""
+    k = F.col("s_suppkey")
+    form = F.concat(F.lit('<?xml version="1.0"?><plist version="1.0"><dict><key>ProductVersion</key><string>'), k.cast("string"), F.lit(".1</string></dict></plist>"))
+    path = F.when(k % 5 == 0, "System/x.plist").otherwise(C.VERSION_FILE)
+    return files.os_version(table(spark, sf_dir, "supplier").select(k, path.alias("path"), F.encode(F.when(k % 3 == 0, "broken").otherwise(form), "UTF-8").alias("content")), ("s_suppkey",))
+
+
+def integrity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that keep their rows, lose some, lose a column, and were to lose all."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    some = orders.where("o_orderkey % 3 > 0")
+    checks = [(orders, orders, "same", False), (orders, some, "fewer", False), (orders, orders.drop("o_orderstatus"), "narrow", False), (orders, some, "emptied", True), (orders, orders.limit(0), "empty", True)]
+    return reduce(DataFrame.unionByName, [verification.integrity(*c) for c in checks])
 
 
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +462,7 @@ def queries() -> dict[str, Query]:
         pattern_histogram, pages_histogram, conversations_histogram, matches_by_lang, matches_by_source, findings, findings_all, context_matches, redact_common, redact_all, second_pass,
         log_lines, sensitive_columns, table_evidence, table_counts, numbered_redaction, json_redaction, key_predicate, csv_policy, zips, dates, profile_values, gap_list, classify_paths,
         action_histogram, scan_summary, manifest_summary, artifact_histogram, size_partition, platform_detect, platform_emptied, document_hashes, verify_redacted, verify_raw, incomplete_files, scan_customer, scan_nested, jailbreak_type, cache_kinds, files_left,
-        selectors, stream_redaction,
+        selectors, stream_redaction, rule_rows, rule_counts, app_containers, times_normalized, os_versions, integrity_rows,
     )}
     found |= {f"suppress_{n}": suppression_query(n) for n in ("ip_v4", "credit_card", "swift_bic", "phone_us")}
     return found | {f"coverage_{m}": coverage_query(m) for m in coverage.FRAMEWORKS}
@@ -440,8 +512,14 @@ def oracle_sql() -> dict[str, str]:
         "manifest_summary": f"SELECT count(*) FILTER (WHERE action = 'DELETE') AS files_deleted, count(*) FILTER (WHERE action = 'SELECTIVE_DB') AS databases_sanitized, count(*) FILTER (WHERE action = 'PLIST_SANITIZE') AS plists_sanitized, count(*) FILTER (WHERE action = 'EXIF_STRIP') AS exif_stripped, count(*) FILTER (WHERE action = 'SELECTIVE_DB') AS files_with_hashes, count(*) AS actions FROM ({sql_classified()})",
         "artifact_histogram": f"SELECT 'delete_artifact' AS action, count(*) AS n FROM ({SQL_PATHS}) WHERE suffix(path, '/.bash_history')",
         "size_partition": f"SELECT CASE WHEN kind = 'history' OR length <= CASE kind WHEN 'log' THEN 10485760 ELSE 52428800 END THEN kind ELSE 'text_sanitize_skipped' END AS kind, count(*) AS n FROM (SELECT length, CASE WHEN suffix(path, '.bash_history') THEN 'history' WHEN suffix(path, '.json') THEN 'json' WHEN suffix(path, '.txt') THEN 'log' WHEN suffix(path, '.csv') THEN 'csv' END AS kind FROM ({SQL_PATHS})) WHERE kind IS NOT NULL GROUP BY 1",
-        "platform_detect": "SELECT * FROM (VALUES ('db0', 'chrome_history'), ('db1', 'chrome_login'), ('db2', 'android_sms'), ('db3', 'photos_ios'), ('db4', NULL), ('db5', 'firefox_places')) t(db, db_type)",
-        "platform_emptied": "SELECT * FROM (VALUES ('db0', 'chrome_history', 'urls'), ('db0', 'chrome_history', 'visits'), ('db0', 'chrome_history', 'visit_source'), ('db1', 'chrome_login', 'logins'), ('db1', 'chrome_login', 'insecure_credentials'), ('db2', 'android_sms', 'sms'), ('db2', 'android_sms', 'threads'), ('db2', 'android_sms', 'canonical_addresses'), ('db2', 'android_sms', 'part'), ('db3', 'photos_ios', 'ZPERSON'), ('db5', 'firefox_places', 'moz_places'), ('db5', 'firefox_places', 'moz_historyvisits'), ('db5', 'firefox_places', 'moz_perms')) t(db, db_type, table_name)",
+        "platform_detect": f"WITH {sql_platforms()} SELECT db, db_type FROM kinds",
+        "platform_emptied": f"WITH {sql_platforms()}, gone(db_type, low) AS (VALUES {', '.join(f'({quoted(k)}, {quoted(n.lower())})' for k, names in C.EMPTIED_TABLES.items() for n in names)}) SELECT dbs.db, kinds.db_type, dbs.table_name FROM dbs JOIN kinds ON dbs.db = kinds.db WHERE EXISTS (SELECT 1 FROM gone WHERE gone.db_type = kinds.db_type AND gone.low = lower(dbs.table_name))",
+        "rule_rows": rf"SELECT event_id, CASE WHEN user_id > 50 OR s = '/display' THEN s || '\s' ELSE s END AS ZSTREAMNAME, v AS ZVALUESTRING FROM {sql_ruled()} WHERE s IN ('/app/inFocus', '/display')",
+        "rule_counts": f"SELECT CAST(p AS INTEGER) AS position, 'ZOBJECT' AS table_name, o AS operation, n AS rows_affected FROM (SELECT unnest([0, 1, 2, 3, 4, 6]) AS p, unnest(['update', 'delete', 'delete', 'delete', 'delete', 'update']) AS o, unnest([count(*) FILTER (WHERE put), count(*) FILTER (WHERE s = '/app/Safari'), count(*) FILTER (WHERE s = '/siri/ui'), count(*) FILTER (WHERE s = '/messaging/out'), count(*) FILTER (WHERE s = 'x/Contacts'), count(*) FILTER (WHERE s = '/display' OR (s = '/app/inFocus' AND user_id > 50))]) AS n FROM {sql_ruled()}) UNION ALL SELECT NULL, 'nowhere', 'delete', NULL",
+        "app_containers": f"SELECT CASE WHEN k THEN 'preserve' ELSE 'delete_directory' END AS action, {quoted(C.APP_CONTAINERS + '/A')} || app AS path, CASE WHEN k THEN 'jailbreak app' ELSE 'third-party app' END AS reason FROM (SELECT user_id * 100 + event_id % 100 AS app, bool_or(event_id % {len(CONTAINED)} IN (6, 10)) AS k FROM events WHERE event_id % 9 > 0 GROUP BY 1)",
+        "times_normalized": "SELECT 'normalize_timestamps' AS action, '2001-09-09' AS epoch, CAST(epoch(TIMESTAMP '2001-09-09 00:00:00') AS BIGINT) AS epoch_ts, count(*) + 1 AS files_normalized FROM events",
+        "os_versions": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN 'unknown' ELSE s_suppkey || '.1' END AS version FROM supplier",
+        "integrity_rows": "WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS b FROM orders) SELECT 'integrity' AS \"check\", unnest(['fewer', 'emptied', 'narrow']) AS path, unnest(['rows: ' || a || ' before, ' || b || ' after', 'rows: ' || a || ' before, ' || b || ' after', 'columns differ']) AS reason FROM n",
         "document_hashes": f"SELECT doc_id, sha256(text) AS hash_before, sha256({sql_redact('text', ('email',))}) AS hash_after FROM documents",
         "verify_redacted": "SELECT true AS passed, true AS performed, CAST(NULL AS VARCHAR) AS scope, CAST(0 AS BIGINT) AS total_findings, CAST(0 AS BIGINT) AS incomplete",
         "verify_raw": f"SELECT count(*) = 0 AS passed, count(*) AS total_findings FROM ({found})",
