@@ -352,6 +352,19 @@ def test_op8_lines(docs, none):
     assert line_cleaning.line_first_cleaning(none).isEmpty()
 
 
+def test_op6_tasks_give_their_memory_back(monkeypatch):
+    from veilspark.llm import runtime
+
+    calls = []
+    monkeypatch.setattr(runtime, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    got = []
+    for x in runtime.released(lambda frames: frames)(iter([batch, batch])):
+        assert not calls
+        got.append(x)
+    assert got == [batch, batch] and calls == [1]
+
+
 def test_op9_fuzzy_lines(spark, none):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(5, 120))) + "." for _ in range(60)]
