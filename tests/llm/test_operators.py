@@ -331,6 +331,37 @@ def test_op7_jaccard(spark, docs, none):
     assert jaccard_join.similar_classes(none).isEmpty() and jaccard_join.keep_one_of_each(none).isEmpty()
 
 
+def test_large_components_are_compared_by_blocks(spark):
+    """Sets of one component that stay apart are sent once for each pair of blocks, not of tiles, and no link is lost."""
+    r = random.Random(11)
+    base = r.sample(range(1 << 60), 40)
+    sets = sorted({tuple(sorted(r.sample(base, 40 - k) + r.sample(range(1 << 60), k))) for k in (0, 2, 3, 4, 5, 6, 9, 20) for _ in range(30)})
+    arrays = [np.array(s, np.uint64) for s in sets]
+    labels = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(set(a) & set(sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both) and labels[i] != labels[j]:
+                old, new = max(labels[i], labels[j]), min(labels[i], labels[j])
+                labels = [new if x == old else x for x in labels]
+    name = lambda i: i.to_bytes(16, "big")
+    sides = [[0] * len(sets), [i % 2 for i in range(len(sets))]]
+    forest = jaccard_join.across_forest(arrays, sides[0], 80, [name(i) for i in range(len(sets))])
+    assert [forest.find(i) for i in range(len(sets))] == labels
+    halves = jaccard_join.across_forest(arrays, sides[1], 80, [name(labels[i]) if i % 3 else name(10_000 + i) for i in range(len(sets))])
+    assert all(labels[halves.find(i)] == labels[i] for i in range(len(sets)))
+    rule = jaccard_join.JaccardRule(percent=80, tile_sets=4, block_sets=100)
+    frame = spark.createDataFrame([(name(i), a.tobytes(), 1) for i, a in enumerate(arrays)], "name binary, members binary, comp long")
+    got = {int.from_bytes(x.name, "big"): int.from_bytes(x.label, "big") for x in jaccard_join.verified(frame, rule).collect()}
+    assert [got[i] for i in range(len(sets))] == labels
+    tiles = 60
+    rest = spark.createDataFrame([(name(i), name(i), a.tobytes(), 1, 0, i % tiles) for i, a in enumerate(arrays)], "name binary, class binary, members binary, comp long, band long, tile long")
+    bands = spark.createDataFrame([(1, 0, len(sets), sum(a.nbytes for a in arrays), tiles)], "comp long, band long, rows long, bytes long, tiles long")
+    sent = jaccard_join._across(rest, bands, rule)
+    pairs = {frozenset((x, y)) for g in [q.names for q in sent.groupBy("pair").agg(F.collect_list("name").alias("names")).collect()] for x in g for y in g if x != y}
+    assert len(pairs) == len(sets) * (len(sets) - 1) // 2 and sent.count() <= 4 * len(sets)
+
+
 def test_op8_lines(docs, none):
     rows = docs.collect()
     texts = {r.doc_id: r.text for r in rows}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.blooms import bloom_of, may_hold
 from veilspark.llm.components import connected_components
 from veilspark.llm.jaccard_join import JaccardRule, verified
-from veilspark.llm.runtime import batches, tasks_for, written
+from veilspark.llm.runtime import batches, released, tasks_for, written
 from veilspark.llm.textbytes import mix, powers
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -131,7 +131,7 @@ def _described(docs: DataFrame, rule: LineRule) -> DataFrame:
                 fresh = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array(order, pa.int64()), lists], fields=list(fresh_type.value_type)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(names, pa.list_(pa.binary())), fresh], names=["id", "digest", "lines", "fresh"])
 
-    return docs.mapInArrow(run, f"id {kind}, digest binary, lines array<binary>, fresh array<struct<key:long,buckets:array<long>>>")
+    return docs.mapInArrow(released(run), f"id {kind}, digest binary, lines array<binary>, fresh array<struct<key:long,buckets:array<long>>>")
 
 
 def _stars(described: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _stars(described: DataFrame) -> DataFrame:
             keys, lists = np.asarray(fresh.field("key")), fresh.field("buckets")
             yield from star_rows(np.asarray(lists.flatten()), np.repeat(keys, np.asarray(pc.list_value_length(lists))), heads=True)
 
-    return described.select("fresh").mapInArrow(run, "head boolean, a long, b long")
+    return described.select("fresh").mapInArrow(released(run), "head boolean, a long, b long")
 
 
 def star_rows(bucket: np.ndarray, key: np.ndarray, heads: bool) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _edges(stars: DataFrame, rows: int) -> DataFrame:
             for batch in star_rows(a[head], b[head], heads=False):
                 yield batch.select(["a", "b"])
 
-    return stars.repartition(tasks_for(stars.sparkSession, rows, 4_000_000), "a").mapInArrow(run, "a long, b long")
+    return stars.repartition(tasks_for(stars.sparkSession, rows, 4_000_000), "a").mapInArrow(released(run), "a long, b long")
 
 
 def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
@@ -199,7 +199,7 @@ def _sets_of(docs: DataFrame, comps: DataFrame, rule: LineRule) -> DataFrame:
                 if lines:
                     yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "big", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["key", "name", "members"])
 
-    sets = docs.select("text").mapInArrow(run, "key long, name binary, members binary")
+    sets = docs.select("text").mapInArrow(released(run), "key long, name binary, members binary")
     return sets.join(comps, "key").groupBy("name").agg(F.first("members").alias("members"), F.first("comp").alias("comp"))
 
 

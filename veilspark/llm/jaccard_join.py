@@ -10,8 +10,9 @@ to connected candidate components (never to all pairs); a bucket of more than `d
 Verification reads the texts again, keeps the sets of candidate components only (by a Bloom filter of bounded size,
 then by an exact join), and runs the R-tree with exact overlaps inside each component. A component of more than
 `tile_sets` sets is cut into tiles: first inside the tiles, then over one set for each link class of a tile, and, for
-the components that are then still apart, over the pairs of tiles whose sizes allow links. Every pair of sets in one
-component is so either checked, pruned by a bound, or already connected: no link is lost.
+the components that are then still apart, over the pairs of blocks of tiles whose sizes allow links, where bitmaps of
+the sets prune. Every pair of sets in one component is so either checked, pruned by a bound, or already connected: no
+link is lost.
 
 Defined results: a text without words, or null, has no shingles and is linked with nothing; fewer words than k form
 one shingle; a null id counts as no id (component_id is the smallest that is not null); rows with equal ids are
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.blooms import bloom_of, may_hold, sum_blobs
 from veilspark.llm.components import Forest, connected_components
-from veilspark.llm.runtime import batches, fresh_name, join_salted, tasks_for, written
+from veilspark.llm.runtime import batches, fresh_name, join_salted, released, tasks_for, written
 from veilspark.llm.textbytes import LOWER, Chunk, mix, shingles
 
 LEAF = 16
@@ -51,6 +52,7 @@ class JaccardRule:
     tiles: int = 64
     tile_limit: int = 4000
     tile_bytes: int = 48 << 20
+    block_sets: int = 1000
     sketch_bits: int = 18
 
 
@@ -193,6 +195,47 @@ def exact_forest(sets: list[np.ndarray], percent: int, classes: list | None = No
     return forest
 
 
+def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of each set's hashes. Bitmaps of two sets differ in no more bits than the sets in members."""
+    out = np.empty((len(sets), bits // 8), np.uint8)
+    for row, own in zip(out, sets, strict=True):
+        marks = np.zeros(bits, bool)
+        marks[((own >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(marks)
+    return out.view(np.uint64)
+
+
+#: Bytes of bitmaps that are compared at once.
+COMPARED = 4 << 20
+
+
+def across_forest(sets: list[np.ndarray], sides: list[int], percent: int, classes: list) -> Forest:
+    """Connects what is linked between the sets of side 0 and those of side 1, or all sets where there is one side.
+    Sets of one class count as connected. A pair is compared exactly unless its bitmaps differ in too many bits."""
+    forest = Forest(len(sets))
+    seen: dict = {}
+    for i, c in enumerate(classes):
+        forest.union(seen.setdefault(c, i), i)
+    sizes, side = np.array([len(s) for s in sets], np.int64), np.array(sides)
+    bits = 1 << max(8, (2 * int(sizes.max()) - 1).bit_length())
+    maps, own = sketches(sets, bits), np.array([forest.find(i) for i in range(len(sets))])
+    first = np.flatnonzero(side == side.min())
+    second = np.flatnonzero(side == side.max())
+    step = max(1, COMPARED // (len(second) * bits // 8))
+    for lo in range(0, len(first), step):
+        a = first[lo : lo + step]
+        x, y = sizes[a][:, None], sizes[second][None]
+        apart = np.bitwise_count(maps[a][:, None] ^ maps[second][None]).sum(axis=2, dtype=np.int64)
+        ok = (apart * (100 + percent) <= (100 - percent) * (x + y)) & (own[a][:, None] != own[second][None])
+        for p, q in zip(*np.nonzero(ok), strict=True):
+            i, j = int(a[p]), int(second[q])
+            if forest.find(i) != forest.find(j):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    forest.union(i, j)
+    return forest
+
+
 def _described(docs: DataFrame, rule: JaccardRule) -> DataFrame:
     """A row for each document, and, with n null, one for each task with its part of the sketch."""
     kind = dict(docs.dtypes)["id"]
@@ -345,31 +388,57 @@ def whole_sets(members: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(m, np.uint64) for m in members]
 
 
-def _classes(rows: DataFrame, keys: list[str], percent: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets) -> DataFrame:
-    """rows: name, class (binary or null), members (what unpack makes sets of) and keys. (keys, name, class): the smallest name that is linked
-    inside the rows of equal keys, which come together in one task, one group after the other."""
+def _classes(rows: DataFrame, keys: list[str], percent: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = whole_sets, n_rows: int = 0) -> DataFrame:
+    """rows: name, class (binary or null), members (what unpack makes sets of), keys, and perhaps side (see across_forest). (keys, name, class):
+    the smallest name that is linked inside the rows of equal keys, which come together in one task, one group after the other.
+    n_rows: about how many rows there are. Their tasks are many, since the work is far from the bytes' number."""
     types = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
+    sided = "side" in rows.columns
+    tasks = tasks_for(rows.sparkSession, n_rows, 50_000)
 
     def solve(group: list[tuple]) -> pa.RecordBatch:
         group.sort(key=lambda r: r[0])
-        forest = exact_forest(unpack([r[2] for r in group]), percent, [r[1] for r in group])
+        sets, known = unpack([r[2] for r in group]), [r[1] for r in group]
+        forest = across_forest(sets, [r[-1] for r in group], percent, known) if sided else exact_forest(sets, percent, known)
         names = [r[0] for r in group]
         arrays = [pa.array([r[3 + i] for r in group], pa.int64()) for i in range(len(keys))]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.binary()), pa.array([names[forest.find(i)] for i in range(len(group))], pa.binary())], names=[*keys, "name", "class"])
 
+    wanted = ["name", "class", "members", *keys, *["side"] * sided]
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in frames:
-            columns = [batch.column(c).to_pylist() for c in ("name", "class", "members", *keys)]
+            columns = [batch.column(c).to_pylist() for c in wanted]
             for row in zip(*columns, strict=True):
-                if group and row[3:] != group[0][3:]:
+                if group and row[3 : 3 + len(keys)] != group[0][3 : 3 + len(keys)]:
                     yield solve(group)
                     group = []
                 group.append(row)
         if group:
             yield solve(group)
 
-    return rows.select("name", "class", "members", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{types}, name binary, class binary")
+    return rows.select(*wanted).repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(released(run), f"{types}, name binary, class binary")
+
+
+def _across(rest: DataFrame, bands: DataFrame, rule: JaccardRule) -> DataFrame:
+    """rest: name, class, members, comp, band, tile of components that are still apart. bands: rows, bytes and tiles of each
+    comp and band. Adds pair and side: a row for each pair of blocks in which a set has to be compared. A block is
+    some tiles of a band, of up to `block_sets` sets; blocks of equal and neighbouring bands may hold links."""
+    each = F.least(F.lit(rule.block_sets) / (F.col("rows") / F.col("tiles")), F.lit(rule.tile_bytes // 8) / (F.col("bytes") / F.col("tiles")))
+    blocked = bands.select("comp", "band", F.greatest(F.floor(each), F.lit(1)).cast("long").alias("each"), F.col("tiles"))
+    tiles = rest.select("comp", "band", "tile").distinct().join(blocked, ["comp", "band"]).withColumn("block", F.floor(F.col("tile") / F.col("each")))
+    tiles = written(tiles.select("comp", "band", "tile", "block", "tiles"), "tiles")
+    blocks = tiles.select("comp", "band", "block", "tiles").distinct()
+    first = blocks.select("comp", F.col("band").alias("band_a"), F.col("block").alias("block_a"), "tiles")
+    second = blocks.select("comp", F.col("band").alias("band_b"), F.col("block").alias("block_b"))
+    near = F.explode(F.array(F.col("band_a"), F.col("band_a") + 1))
+    pairs = first.withColumn("band_b", near).join(second, ["comp", "band_b"]).where("band_a < band_b OR block_a < block_b OR (block_a = block_b AND tiles > 1)")
+    pairs = pairs.withColumn("pair", F.xxhash64("band_a", "block_a", "band_b", "block_b"))
+    ends = [F.struct(F.lit(i).alias("side"), F.col(f"band_{c}").alias("band"), F.col(f"block_{c}").alias("block")) for i, c in enumerate("ab")]
+    own = F.expr("band_a = band_b AND block_a = block_b")
+    sides = pairs.select("comp", "pair", F.explode(F.when(own, F.array(ends[0])).otherwise(F.array(*ends))).alias("s")).select("comp", "pair", "s.*")
+    return rest.join(sides.join(tiles.drop("tiles"), ["comp", "band", "block"]).drop("block"), ["comp", "band", "tile"])
 
 
 def _banded(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
@@ -406,7 +475,7 @@ def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]],
     dealt = join_salted(banded.withColumn("cell", F.xxhash64("comp", "band")), written(cells, "cells"), "cell", "rows", total, F.xxhash64("name"))
     tiled = lone.unionByName(dealt.withColumn("tile", F.pmod(F.xxhash64("name", F.lit(7)), "tiles")).select(lone.columns))
     tiled = written(tiled.withColumn("class", F.lit(None).cast("binary")), "tiled")
-    inside = written(_classes(tiled, ["comp", "band", "tile"], rule.percent, unpack), "inside")
+    inside = written(_classes(tiled, ["comp", "band", "tile"], rule.percent, unpack, total), "inside")
     if tiled.where("NOT lone").isEmpty():
         return inside.select("name", F.col("class").alias("label"))
     large = written(tiled.where("NOT lone").drop("class", "lone").join(inside.select("name", "class"), "name"), "large")
@@ -419,13 +488,7 @@ def verified(sets: DataFrame, rule: JaccardRule, unpack: Callable[[list[bytes]],
     known = large.drop("class").join(labels, "name", "left").withColumn("class", F.coalesce("label", "name")).drop("label")
     apart = known.groupBy("comp").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high").select("comp", "rows")
     rest = written(join_salted(known, written(apart, "apart"), "comp", "rows", total, F.xxhash64("name")), "rest")
-    # tiles that may hold links between them, by their bands: (low tile, high tile), both of which get all of their sets
-    tiles = rest.select("comp", "band", "tile").distinct()
-    first, second = tiles.withColumnRenamed("tile", "tile_a").withColumnRenamed("band", "band_a"), tiles.withColumnRenamed("tile", "tile_b").withColumnRenamed("band", "band_b")
-    near = F.explode(F.array(F.col("band_a"), F.col("band_a") + 1))
-    pairs = first.withColumn("band_b", near).join(second, ["comp", "band_b"]).where("band_a < band_b OR tile_a < tile_b").withColumn("pair", F.xxhash64("band_a", "tile_a", "band_b", "tile_b"))
-    sides = pairs.select("comp", "pair", F.explode(F.array(F.struct(F.col("band_a").alias("band"), F.col("tile_a").alias("tile")), F.struct(F.col("band_b").alias("band"), F.col("tile_b").alias("tile")))).alias("s")).select("comp", "pair", "s.*")
-    across = _classes(rest.join(sides, ["comp", "band", "tile"]), ["comp", "pair"], rule.percent, unpack)
+    across = _classes(_across(rest, each, rule), ["comp", "pair"], rule.percent, unpack)
     edges = edges.unionByName(across.select(F.col("name").alias("a"), F.col("class").alias("b")))
     final = connected_components(edges).select(F.col("node").alias("name"), "label")
     return inside.select("name", "class").join(final, "name", "left").select("name", F.coalesce("label", "class").alias("label"))
