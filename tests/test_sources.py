@@ -1,0 +1,28 @@
+"""Tables as they are dealt over tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veilspark.sources.files import spread
+
+
+def sizes(df):
+    return [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+
+
+def test_one_row_group_is_dealt_over_all_cores(spark, tmp_path):
+    """A file of one row group comes as many partitions, all but one of them empty."""
+    spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() >= 4 and sizes(df) == [40_000]
+        out = spread(df)
+        assert max(sizes(out)) <= 11_000 and sorted(r.id for r in out.collect()) == list(range(40_000))
+        even = spark.range(400).repartition(8)
+        assert spread(even) is even
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
