@@ -12,6 +12,7 @@ from veilspark.functions import catalog as C
 from veilspark.functions.columns import named
 from veilspark.functions.policy import Policy, select
 from veilspark.operators.detection import detect
+from veilspark.sources.files import bounded_batches
 
 MATCH = "path string, pattern_name string, match_text string, line_number int"
 
@@ -70,6 +71,7 @@ def scan_table(df: DataFrame, table: str, policy: Policy | None = None) -> DataF
     cells = {c: x for c, x in cells.items() if x is not None}
     if not cells:
         return df.sparkSession.createDataFrame([], MATCH)
+    bounded_batches(df.sparkSession)  # of binary values, which Python decodes
     plain = df.select(*[x.alias(f"c{i}") for i, x in enumerate(cells.values())])
     long = plain.select(F.explode(F.array(*[F.struct(F.lit(f"{table}.{c}").alias("path"), F.col(f"c{i}").alias("texts")) for i, c in enumerate(cells)])).alias("c")).select("c.path", F.explode("c.texts").alias("value"))
     return detect(long, "value", F.col("path"), policy)
