@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.catalog import DIGIT_FREE, LITERALS, Detector
+from veilspark.functions.catalog import DIGIT_FREE, LITERALS, RUNS, Detector
 
 #: Line ends of text files.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -43,7 +43,9 @@ def named(column: str) -> str:
 
 
 def may_match(text: Column, d: Detector) -> Column | None:
-    """A test by plain strings without which the detector finds nothing; null where there is none."""
+    """A test by plain strings, or a run of characters, without which the detector finds nothing; null where there is none."""
+    if d.name in RUNS and not d.keywords:
+        return text.rlike(RUNS[d.name])
     if d.keywords:
         return contains_any(F.lower(text), d.keywords)
     tests = [F.contains(text, F.lit(x)) for x in LITERALS.get(d.name, ())]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.catalog import Detector
-from veilspark.functions.columns import LINE_ENDS, by_digit, contains_any, java, matches_of, screened
+from veilspark.functions.catalog import DIGIT_FREE, RUNS, Detector
+from veilspark.functions.columns import LINE_ENDS, by_digit, contains_any, has_digit, java, matches_of, screened
 from veilspark.functions.policy import Policy, select
 from veilspark.functions.suppression import suppressed
 
@@ -27,7 +27,10 @@ def gated_matches(text: Column, d: Detector) -> Column:
         return F.struct(end.alias("at"), F.when(contains_any(near, d.keywords), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("found")))
-    return F.when(contains_any(F.lower(text), d.keywords) & text.rlike(java(d)), F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(empty)
+    test = contains_any(F.lower(text), d.keywords)
+    test = test if d.name in DIGIT_FREE else test & has_digit(text)
+    test = test & text.rlike(RUNS[d.name]) if d.name in RUNS else test
+    return F.when(test & text.rlike(java(d)), F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(empty)
 
 
 def count_matches(text: Column, d: Detector) -> Column:
@@ -53,7 +56,8 @@ def detect(df: DataFrame, text: str, path: Column, policy: Policy | None = None,
         def near_of(d: Detector) -> Column:
             return F.transform(gated_matches(F.col("_text"), d), lambda m: F.struct(F.lit(d.name).alias("pattern_name"), m["match_text"].alias("match_text"), m["start"].alias("start")))
 
-        near = F.flatten(F.array(*[near_of(d) for d in policy.gated]))
+        none = F.expr("CAST(array() AS array<struct<pattern_name:string,match_text:string,start:int>>)")
+        near = F.flatten(by_digit(F.col("_text"), policy.gated, near_of, none))
         whole = base.select(*keep, "path", "_text", F.explode(near).alias("m"))
         line = (F.length(F.regexp_replace(F.expr("substring(_text, 1, m.start)"), "[^\\n]", "")) + 1).cast("int")
         out = plain.unionByName(whole.select(*keep, "path", "m.pattern_name", "m.match_text", line.alias("line_number")))

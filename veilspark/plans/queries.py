@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
-from veilspark.functions.columns import java
+from veilspark.functions.columns import has_digit, java
 from veilspark.functions.policy import listing, select
 from veilspark.functions.safe_harbor import generalize_date, profile, transform_value, truncate_zip
 from veilspark.functions.suppression import suppressed
 from veilspark.operators import artifacts, carriers, coverage, detection, paths, platforms, redaction, rules, tables, verification
 from veilspark.plans import manifest
 from veilspark.sources import files
-from veilspark.sources.files import spread
+from veilspark.sources.files import bounded_batches, spread
 from veilspark.streaming import redaction as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ TEXT_TABLES = ("documents", "pages", "conversations", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 
 
@@ -63,7 +63,10 @@ def sql_found(d: C.Detector, text: str = "text") -> str:
 
 def histogram(df: DataFrame, text: str, detectors: tuple[C.Detector, ...], *by: str) -> DataFrame:
     """Matches by detector (and columns): one scan, one row for each detector and group before the shuffle."""
-    sums = df.groupBy(*by).agg(*[F.coalesce(F.sum(detection.count_matches(F.col(text), d)), F.lit(0)).cast("long").alias(d.name) for d in detectors])
+    marked = df.select(*by, F.col(text).alias("_text"), has_digit(F.col(text)).alias("_digit"))
+    count = lambda d: detection.count_matches(F.col("_text"), d)
+    counts = [count(d) if d.name in C.DIGIT_FREE else F.when(F.col("_digit"), count(d)) for d in detectors]
+    sums = marked.groupBy(*by).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(d.name) for d, n in zip(detectors, counts, strict=True)])
     return sums.select(*by, F.inline(F.array(*[F.struct(F.lit(d.name).alias("pattern_name"), F.col(d.name).alias("n")) for d in detectors])))
 
 
